@@ -10,8 +10,11 @@ from .decontamination import contamination
 from .neighbours import nearest_neighbours
 from .ngram_join import ngram_jaccard_components
 from .packing import best_fit_packing
+from .paragraphs import repeated_paragraphs
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .secret_scan import secret_digest
+from .sharding import sharded
 from .token_counts import token_counts
 
 
@@ -46,10 +49,27 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(documents(spark, sf_dir), n=3, percent=90)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the newest manifest holds, read back from its shards."""
+    kept = sharded(documents(spark, sf_dir)).read()
+    return kept.select(
+        "doc_id", "lang", "source", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("text_md5")
+    )
+
+
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -57,7 +77,15 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_repeats": op7_repeats,
     "op8_secret_scan": op8_secret_scan,
+    "op9_sharding": op9_sharding,
+    "op10_paragraphs": op10_paragraphs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_sharding": """
+        SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5
+        FROM documents
+    """,
+}

@@ -209,14 +209,15 @@ def redacted(text: str, spans: list[tuple[str, int, int, float | None]], mark: s
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def scan_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None) -> DataFrame:
-    """One row per row of docs: (doc_id, spans array<struct<kind, start, end, score>>, redacted_text).
+def scan_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, spans array<struct<kind, start, end, score>>, redacted_text, *keep).
 
     Positions are code points, ends exclusive. The score, for inferred formats only, is how far the
     mean log-likelihood a symbol lies above the kind's threshold. A null text is empty and stays null
-    in redacted_text; repeated rows are scanned each; other columns are ignored.
+    in redacted_text; repeated rows are scanned each; other columns than those to keep are ignored.
     """
     model = infer_formats(docs) if formats is None else formats
+    names = ["doc_id", "spans", "redacted_text", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -224,11 +225,12 @@ def scan_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None) -
             found = [secret_spans(t, model) for t in texts]
             spans = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in f] for f in found]
             clean = [redacted(t, f) if f else t for t, f in zip(texts, found, strict=True)]
-            arrays = [batch.column(0), pa.array(spans, _SPANS), pa.array(clean, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "spans", "redacted_text"])
+            arrays = [batch.column(0), pa.array(spans, _SPANS), pa.array(clean, pa.string()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted_text string"
-    return narrow(docs, "doc_id", "text").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep or [])
+    return narrow(docs, "doc_id", "text", *(keep or [])).mapInArrow(run, schema)
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
