@@ -20,8 +20,10 @@ from pyspark.sql.types import DoubleType
 from ._common import Scratch, column, long_lists, narrow, pieces, utf8
 
 #: Weight of the diagonal in a shrunk covariance, and what is added to each variance.
-SHRINKAGE = 0.1
+SHRINKAGE = 0.05
 RIDGE = 1e-3
+#: Added to what shares are taken of, so that a few words do not look extreme.
+PRIOR = 20
 FEATURES = 13
 
 _BYTES = np.arange(256)
@@ -41,11 +43,11 @@ def statistics(text: str | None) -> np.ndarray:
     words = data.split()
     w = len(words)
     repeats = sum(map(eq, words, words[1:])) if w > 1 else 0
-    share = lambda k, of: np.sqrt((k + 0.01) / (of + 1))
+    share = lambda k, of: np.sqrt((k + 0.01) / (of + PRIOR))
     return np.array([
-        np.log1p(n), np.log((len(set(words)) + 1) / (w + 1)), share(repeats, w), share(upper, upper + lower),
+        np.log(n + PRIOR), np.log((len(set(words)) + PRIOR) / (w + PRIOR)), share(repeats, w), share(upper, upper + lower),
         share(lower, n), share(digit, n), share(point, n), share(symbol, n), share(shout, n), share(feed, n),
-        share(high, n), np.log((n + 1) / (w + 1)), np.log1p(w),
+        share(high, n), np.log((n + 6 * PRIOR) / (w + PRIOR)), np.log(w + PRIOR),
     ])
 
 
