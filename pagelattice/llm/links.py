@@ -71,62 +71,120 @@ def linked(
 ) -> DataFrame:
     """(node, component) over links of at least percent % Jaccard among ids that share a key.
 
-    keyed: (id, keys array<bigint>); meta: (id unique, n, sig binary); fragments(ids) gives
+    keyed: (id, keys array<bigint>, spare array<bigint>), where a spare only meets keys; meta: (id unique, n, sig binary); fragments(ids) gives
     (id, part, items array<bigint>) of those ids' sets, cut at the same places of the global order.
+
+    1. Spokes: each member of a key is held against the key's hub; the elements that only one of the two
+       has are counted fragment by fragment and summed per pair.
+    2. Keys whose members now lie in several components are open. Their members are held against one
+       reference h, the root of the key's largest component, and the elements kept in which they differ
+       (the delta). For members a and b, A ^ B is the difference of their deltas; if b does not link
+       to h, a and b can only link by sharing more than half of a's delta. So they must share one of
+       the rarer elements of it: those meet, by element, first with one hub of the element, then with
+       what is left in other components.
     """
-    exploded = keyed.select("id", F.explode("keys").alias("key"))
-    hubs = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    hubs = scratch.save(hubs.select("key", "hub"), "hubs")
-    members = scratch.save(exploded.join(hubs, "key"), "members")
+    # Only keys make a hub; a spare meets the keys that equal it, not other spares.
+    keys = keyed.select("id", F.explode("keys").alias("key"), F.lit(True).alias("chosen"))
+    exploded = keys.unionByName(keyed.select("id", F.explode("spare").alias("key"), F.lit(False).alias("chosen")))
+    hubs = exploded.groupBy("key").agg(
+        F.min(F.when(F.col("chosen"), F.col("id"))).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")
+    )
+    hubs = scratch.save(hubs.where("hub is not null and first < last").select("key", "hub"), "hubs")
+    copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    copies = copies.where("rep < last").select("sig", "rep")
+    same = meta.where("n > 0").join(copies, "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same = scratch.save(same, "copies")
+    # A hub is the smallest id of its key, so it is never a copy of a smaller one; copies need no spoke.
+    members = exploded.join(hubs, "key").where("id <> hub").join(same.select(F.col("a").alias("id")), "id", "left_anti")
+    members = scratch.save(members.select("key", "hub", "id"), "members")
     scratch.drop(hubs)
-    copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = scratch.save(meta.where("n > 0").join(copies, "sig").select("id", "rep", "n"), "reps")
-    same = reps.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    spokes = scratch.save(members.select("hub", "id").distinct(), "spokes")
+    if is_empty(spokes):
+        return components(same, scratch)
+    ids = spokes.select("id").union(spokes.select(F.col("hub").alias("id"))).distinct()
+    cut = scratch.save(fragments(ids), "fragments")
+    sizes = scratch.save(cut.groupBy("id").agg(F.sum(F.size("items")).alias("n")), "sizes")
+
+    def named(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
+
+    def differences(pairs: DataFrame) -> DataFrame:
+        """pairs(a, b) by fragment: the elements that one side lacks."""
+        met = pairs.join(named(cut, "a", "part", "left"), "a").join(named(cut, "b", "part", "right"), ["b", "part"])
+        delta = F.array_union(F.array_except("left", "right"), F.array_except("right", "left"))
+        return met.select("a", "b", "part", delta.alias("delta"))
+
+    def measured(deltas: DataFrame) -> DataFrame:
+        """(a, b, na, nb, d, good): summed over fragments, and whether the pair links."""
+        total = deltas.groupBy("a", "b").agg(F.sum(F.size("delta")).alias("d"))
+        total = total.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
+        return total.withColumn("good", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("na") + F.col("nb")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) of representatives, a <> b, that link."""
-        sizes = reps.where("id = rep").select("id", "n")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = scratch.save(pairs, "pairs")
-        if is_empty(pairs):
-            return pairs.select("a", "b")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        cut = scratch.save(fragments(ids), "fragments")
-        left = cut.select(F.col("id").alias("a"), "part", F.col("items").alias("left"))
-        right = cut.select(F.col("id").alias("b"), "part", F.col("items").alias("right"))
-        met = pairs.join(left, "a").join(right, ["b", "part"])
-        overlap = met.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("shared"))
-        total = overlap.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-        good = total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
-        good = scratch.save(good.select("a", "b"), "links")
-        scratch.drop(cut, pairs)
+        pairs = pairs.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
+        fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        pairs = scratch.save(pairs.where(fit).select("a", "b"), "pairs")
+        good = scratch.save(measured(differences(pairs)).where("good").select("a", "b"), name)
+        scratch.drop(pairs)
         return good
 
-    named = members.join(reps.select("id", "rep"), "id").select("key", "hub", F.col("rep").alias("id")).distinct()
-    spokes = named.join(reps.select(F.col("id").alias("hub"), F.col("rep").alias("b")), "hub")
-    tested = spokes.select(F.col("id").alias("a"), "b").where("a <> b")
-    links = same.unionByName(verified(tested))
+    tested = measured(differences(named(spokes, "b", "a")))
+    links = scratch.save(same.unionByName(tested.where("good").select("a", "b")), "links")
     labels = components(links, scratch)
 
-    # What one hub has not settled: keys whose members lie in several components.
-    lone = F.coalesce("component", "id").alias("component")
-    at = named.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", lone)
-    at = scratch.save(at, "settled")
-    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = scratch.save(at.join(open_keys.select("key"), "key", "left_semi"), "open")
-    scratch.drop(at, members)
-    if is_empty(rest):
+    def placed(df: DataFrame, node: str, name: str) -> DataFrame:
+        at = df.join(named(labels, node, "at"), node, "left")
+        return at.withColumn(name, F.coalesce("at", node)).drop("at")
+
+    group = members.select("key", "id").unionByName(members.select("key", F.col("hub").alias("id")).distinct())
+    group = scratch.save(placed(group, "id", "component"), "groups")
+    scratch.drop(members, spokes)
+    held = group.groupBy("key", "component").agg(F.count("*").alias("many"))
+    held = held.groupBy("key").agg(
+        F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("several")
+    )
+    held = held.where("several > 1").select("key", F.col("top.component").alias("b"))
+    open_spokes = group.join(held, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    open_spokes = scratch.save(open_spokes, "open")
+    scratch.drop(group)
+    if is_empty(open_spokes):
         return labels
-    sized = rest.join(reps.where("id = rep").select("id", "n"), "id")
-    one = sized.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = sized.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    across = one.join(two, "key").where("ca < cb").where(
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    deltas = scratch.save(differences(open_spokes), "deltas")
+    open_spokes = scratch.save(measured(deltas), "tested")
+    elements = scratch.save(deltas.select("b", "a", F.explode("delta").alias("element")), "elements")
+    scratch.drop(deltas)
+    shared = elements.groupBy("b", "element").agg(F.count("*").alias("seen")).where("seen > 1")
+    shared = scratch.save(elements.join(shared, ["b", "element"]), "shared")
+    scratch.drop(elements)
+    # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
+    # frequent out, and what nobody else has, and a common element still remains.
+    rare = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
+    # And as d(A, B) <= m for the largest possible B, |b| >= |a| - m, and at least |a| - m elements are common.
+    outside = F.floor(
+        ((100 + percent) * F.col("d") + (100 - percent) * (F.col("nb") - F.col("na"))) / (2 * (100 + percent))
     )
-    more = verified(across.select("a", "b"))
-    if is_empty(more):
+    largest = F.floor((100 - percent) * (F.col("na") + F.floor(100 * F.col("na") / percent)) / (100 + percent))
+    outside = F.greatest(outside, F.col("d") - largest - 1)
+    rare = rare.join(open_spokes, ["a", "b"])
+    keep = F.greatest(F.lit(0), F.size("all") - outside).cast("int")
+    rare = rare.withColumn("keep", keep).where("keep > 0")
+    rare = rare.select("b", "a", F.explode(F.slice("all", F.lit(1), F.col("keep"))).alias("e"))
+    rare = rare.select(F.col("b").alias("hub"), "a", F.col("e.element").alias("element"))
+    lone = shared.join(open_spokes.where("not good").select("a", "b"), ["a", "b"], "left_semi")
+    lone = lone.select(F.col("b").alias("hub"), F.col("a").alias("b"), "element")
+    # Only elements that some a counts on and some b has.
+    lone = scratch.save(lone.join(rare.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "lone")
+    second = lone.groupBy("hub", "element").agg(F.min("b").alias("b"))
+    rare = scratch.save(rare.join(second.select("hub", "element"), ["hub", "element"], "left_semi"), "rare")
+    scratch.drop(shared)
+    group = rare.unionByName(lone.select("hub", F.col("b").alias("a"), "element"))
+    spoke = placed(placed(group.join(second, ["hub", "element"]).select("a", "b").distinct(), "a", "ca"), "b", "cb")
+    found = verified(spoke.where("ca <> cb"), "second")
+    links = scratch.save(links.unionByName(found), "links")
+    labels = components(links, scratch)
+    one = placed(rare, "a", "ca").join(placed(lone, "b", "cb"), ["hub", "element"]).where("ca <> cb")
+    rest = verified(one.select("a", "b"), "rest")
+    if is_empty(rest):
         return labels
-    return components(links.unionByName(more), scratch)
+    return components(links.unionByName(rest), scratch)
