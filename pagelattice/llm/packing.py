@@ -8,10 +8,13 @@ planned slots by their rank within their length.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 from math import isqrt
 
 import numpy as np
@@ -22,8 +25,8 @@ from tokenizers import Tokenizer
 
 from ._common import Scratch, column, narrow, pieces
 
-#: Pre-tokens whose ids a worker keeps.
-CACHED = 1 << 18
+#: Pre-tokens whose ids a worker keeps; the older half goes when it is full.
+CACHED = 1 << 20
 
 
 def _class(kind: str) -> str:
@@ -41,6 +44,16 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 _TOKENIZERS: dict[str, Ids] = {}
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Ids(dict):
     """A worker's cache: pre-token to its ids as little-endian 32-bit bytes."""
 
@@ -49,18 +62,24 @@ class Ids(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.whole(part)
+        """Ids of one pre-token, from the library's model alone."""
+        ids = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        data = ids.tobytes()
         if len(part) <= 48:
             if len(self) >= CACHED:
-                self.clear()
-            self[part] = ids
-        return ids
+                for old in list(islice(self, CACHED // 2)):
+                    del self[old]
+            self[part] = data
+        return data
 
     def of(self, text: str | None) -> bytes:
         if not text:
