@@ -114,7 +114,9 @@ def nearest_neighbours(
     block = max(BLOCK, placed.count() // SHARE)
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = scratch.save(sizes, "buckets")
-    placed = placed.join(F.broadcast(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    # Both sides of the cogroup need one type of key: equal numbers of other types hash to other partitions.
+    placed = placed.join(F.broadcast(sizes), "bucket")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     asked = base.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
     asked = asked.mapInPandas(_hashed(probes, tables), "query_id bigint, embedding array<double>, bucket bigint")
     asked = asked.join(F.broadcast(sizes), "bucket")
