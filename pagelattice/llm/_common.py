@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -97,9 +98,53 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, with A-Z lower-cased."""
-    return utf8(text).translate(_ASCII_LOWER).split()
+_BASE = 0x9E3779B97F4A7C15
+#: A random number for each byte, for polynomial hashes modulo 2^64.
+BYTE_CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes whose words are hashed at once.
+_AT_ONCE = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers at least of the base and of its inverse modulo 2^64, kept by size."""
+    size = 1 << max(10, n - 1).bit_length()
+    if size not in _POWERS:
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[size]
+
+
+def prefix_sums(data: bytes) -> np.ndarray:
+    """sums[j] - sums[i], times the inverse power of i, is the polynomial hash of data[i:j]."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[np.frombuffer(data, np.uint8)] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words between ASCII white space, with A-Z lower-cased."""
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > _AT_ONCE:
+            cut = re.compile(rb"[ \t-\r]").search(data, at + _AT_ONCE)
+            end = cut.start() if cut else end
+        part = data[at:end].translate(_ASCII_LOWER)
+        space = _SPACES[np.frombuffer(part, np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        sums, down = prefix_sums(part), powers(len(part) + 1)[1]
+        hashes.append(mix((sums[last] - sums[first]) * down[first]))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_ids(text: str | None) -> np.ndarray:
+    return word_hashes(utf8(text))[0]
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -118,14 +163,15 @@ def ngram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct n-word shingles; a shorter sequence is one shingle, none has none."""
-    if not words:
+def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct n-word shingles of word hashes; a shorter sequence is one shingle, none has none."""
+    if not len(ids):
         return np.empty(0, np.uint64)
-    ids = hash_words(words)
-    if len(words) < n:
-        return mix(ngram_hashes(ids, len(ids)) ^ np.uint64(len(words)))
-    return np.unique(ngram_hashes(ids, n))
+    if len(ids) < n:
+        return mix(ngram_hashes(ids, len(ids)) ^ np.uint64(len(ids)))
+    grams = ngram_hashes(ids, n)
+    grams.sort()
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def long_lists(arrays: list[np.ndarray]) -> pa.Array:

@@ -91,7 +91,7 @@ def linked(
     )
     hubs = scratch.save(hubs.where("hub is not null and first < last").select("key", "hub"), "hubs")
     copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = copies.where("rep < last").select("sig", "rep")
+    copies = scratch.save(copies.where("rep < last").select("sig", "rep"), "copies")
     same = meta.where("n > 0").join(copies, "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     same = scratch.save(same, "copies")
     # A hub is the smallest id of its key, so it is never a copy of a smaller one; copies need no spoke.
@@ -159,31 +159,40 @@ def linked(
     scratch.drop(elements)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
     # frequent out, and what nobody else has, and a common element still remains.
-    rare = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
+    ranked = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
+    ranked = ranked.join(open_spokes, ["a", "b"])
     # And as d(A, B) <= m for the largest possible B, |b| >= |a| - m, and at least |a| - m elements are common.
     outside = F.floor(
         ((100 + percent) * F.col("d") + (100 - percent) * (F.col("nb") - F.col("na"))) / (2 * (100 + percent))
     )
     largest = F.floor((100 - percent) * (F.col("na") + F.floor(100 * F.col("na") / percent)) / (100 + percent))
     outside = F.greatest(outside, F.col("d") - largest - 1)
-    rare = rare.join(open_spokes, ["a", "b"])
-    keep = F.greatest(F.lit(0), F.size("all") - outside).cast("int")
-    rare = rare.withColumn("keep", keep).where("keep > 0")
-    rare = rare.select("b", "a", F.explode(F.slice("all", F.lit(1), F.col("keep"))).alias("e"))
-    rare = rare.select(F.col("b").alias("hub"), "a", F.col("e.element").alias("element"))
-    lone = shared.join(open_spokes.where("not good").select("a", "b"), ["a", "b"], "left_semi")
-    lone = lone.select(F.col("b").alias("hub"), F.col("a").alias("b"), "element")
+    ranked = ranked.select(
+        F.col("b").alias("hub"), F.col("a").alias("id"), "na", "d", "good",
+        (F.size("all") - outside).alias("keep"), F.size("all").alias("size"), F.posexplode("all").alias("at", "e"),
+    )
+    # left: how many elements of the delta come from this one on, in the order from rare to frequent.
+    ranked = ranked.select("hub", "id", F.col("na").alias("n"), "d", "good", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("keep")).alias("counts"))
+    ranked = scratch.save(ranked, "ranked")
+    scratch.drop(shared)
+    rare = ranked.where("counts").select("hub", "element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("la"))
+    lone = ranked.where("not good").select("hub", "element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("lb"))
     # Only elements that some a counts on and some b has.
     lone = scratch.save(lone.join(rare.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "lone")
     second = lone.groupBy("hub", "element").agg(F.min("b").alias("b"))
     rare = scratch.save(rare.join(second.select("hub", "element"), ["hub", "element"], "left_semi"), "rare")
-    scratch.drop(shared)
-    group = rare.unionByName(lone.select("hub", F.col("b").alias("a"), "element"))
+    scratch.drop(ranked)
+    group = rare.select("hub", "element", "a").unionByName(lone.select("hub", "element", F.col("b").alias("a")))
     spoke = placed(placed(group.join(second, ["hub", "element"]).select("a", "b").distinct(), "a", "ca"), "b", "cb")
     found = verified(spoke.where("ca <> cb"), "second")
     links = scratch.save(links.unionByName(found), "links")
     labels = components(links, scratch)
-    one = placed(rare, "a", "ca").join(placed(lone, "b", "cb"), ["hub", "element"]).where("ca <> cb")
+    # A linked pair's first common element leaves room for all elements that they must share.
+    most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    room = 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - most
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    one = scratch.save(placed(rare, "a", "ca"), "one").join(scratch.save(placed(lone, "b", "cb"), "two"), ["hub", "element"])
+    one = one.where((F.col("ca") != F.col("cb")) & room & fit & (F.abs(F.col("da") - F.col("db")) <= most))
     rest = verified(one.select("a", "b"), "rest")
     if is_empty(rest):
         return labels

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, ascii_words, column, long_lists, mix, narrow, pieces, shingle_set
+from ._common import Scratch, column, long_lists, mix, narrow, pieces, shingle_set, word_ids
 from .links import linked
 
 #: Sets are grouped by size into classes of this ratio; each class has its own number of fragments.
@@ -110,7 +110,7 @@ def _counted(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in pieces(batches):
-            sets = [shingle_set(ascii_words(t), n) for t in column(batch, "text")]
+            sets = [shingle_set(word_ids(t), n) for t in column(batch, "text")]
             items, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             many = counts > 1
             items = np.concatenate([held[0], items[many]])
@@ -138,7 +138,7 @@ def _keyed(n: int, percent: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in pieces(batches):
-            sets = [shingle_set(ascii_words(t), n) for t in column(batch, "text")]
+            sets = [shingle_set(word_ids(t), n) for t in column(batch, "text")]
             keys = [fragment_keys(s, percent, known) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,7 +160,7 @@ def _parts(n: int):
         for batch in pieces(batches):
             ids, parts, items = [], [], []
             for doc, text, sig in zip(column(batch, "id"), column(batch, "text"), column(batch, "sig"), strict=True):
-                s = shingle_set(ascii_words(text), n)
+                s = shingle_set(word_ids(text), n)
                 if xxhash.xxh3_128_digest(s.tobytes()) != sig:
                     continue
                 for part, some in enumerate(np.split(s, np.searchsorted(s, cuts))):

@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, ascii_words, column, long_lists, mix, narrow, pieces, shingle_set
+from ._common import Scratch, column, long_lists, mix, narrow, ngram_hashes, pieces, shingle_set, utf8, word_hashes, word_ids
 from .links import linked
 
 #: Share of pairs at the threshold that the bands must find, and the most hash functions to spend on it.
 RECALL = 0.999
-FUNCTIONS = 64
+FUNCTIONS = 32
 #: Shorter paragraphs (headings, boilerplate lines) are not passages.
 WORDS = 20
 
@@ -36,27 +36,45 @@ def tuned_bands(percent: int, recall: float = RECALL, functions: int = FUNCTIONS
     return best
 
 
-def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key a band from the smallest values of bands * rows hash functions."""
-    if not len(items):
-        return np.empty(0, np.uint64)
+def shingle_sets(ids: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(items, starts): the sorted distinct shingles of many paragraphs, one after the other, and where each begins.
+
+    ids: the paragraphs' word hashes, one after the other; sizes: how many each has, one at least.
+    """
+    begins = np.cumsum(sizes) - sizes
+    many = np.maximum(sizes - (n - 1), 0)
+    owner = np.repeat(np.arange(len(sizes)), many)
+    items = ngram_hashes(ids, n)[begins[owner] + np.arange(len(owner)) - (np.cumsum(many) - many)[owner]]
+    short = np.flatnonzero(sizes < n)
+    if len(short):
+        items = np.concatenate([items, *[shingle_set(ids[begins[k] : begins[k] + sizes[k]], n) for k in short.tolist()]])
+        owner = np.concatenate([owner, short])
+    order = np.lexsort((items, owner))
+    items, owner = items[order], owner[order]
+    fresh = np.ones(len(items), bool)
+    fresh[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
+    items, owner = items[fresh], owner[fresh]
+    return items, np.searchsorted(owner, np.arange(len(sizes)))
+
+
+def band_keys(items: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A row of keys, one a band, for each set, from the smallest values of bands * rows hash functions."""
     seeds = mix(np.arange(2 * bands * rows, dtype=np.uint64))
-    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    keys = np.empty((len(starts), bands), np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(items), 4096):  # long paragraphs in parts
-            some = items[at : at + 4096, None]
-            least = np.minimum(least, (some * (seeds[::2] | np.uint64(1)) + seeds[1::2]).min(axis=0))
-        key = mix(np.arange(bands, dtype=np.uint64))
-        for row in least.reshape(bands, rows).T:
-            key = mix(key ^ row)
-    return key
+        for band in range(bands):
+            key = np.full(len(starts), mix(np.array([band], np.uint64))[0])
+            for row in range(band * rows, (band + 1) * rows):
+                key = mix(key ^ np.minimum.reduceat(items * (seeds[2 * row] | np.uint64(1)) + seeds[2 * row + 1], starts))
+            keys[:, band] = key
+    return keys
 
 
-def lines(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(start, end, line) of each line, in code points."""
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each line, in code points."""
     at = 0
-    for line in (text or "").split("\n"):
-        yield at, at + len(line), line
+    for line in text.split("\n"):
+        yield at, at + len(line)
         at += len(line) + 1
 
 
@@ -70,18 +88,23 @@ def _paragraphs(percent: int, n: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows, keys = [], []
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                for nth, (start, end, line) in enumerate(lines(text)):
-                    words = ascii_words(line)
-                    if len(words) >= least:
-                        items = shingle_set(words, n)
-                        rows.append((doc, nth, start, end, len(items), _signature(items)))
-                        keys.append(band_keys(items, bands, rows_a_band))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, long_lists(keys)], names)
+            texts = [t or "" for t in column(batch, "text")]
+            places = [(d, k, *x) for d, t in zip(column(batch, "doc_id"), texts, strict=True) for k, x in enumerate(lines(t))]
+            data = utf8("\n".join(texts))
+            ids, at = word_hashes(data)
+            line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), at)
+            counts = np.bincount(line, minlength=len(places))
+            enough = counts >= max(1, least)
+            if not enough.any():
+                continue
+            items, starts = shingle_sets(ids[enough[line]], counts[enough], n)
+            rows = [places[k] for k in np.flatnonzero(enough).tolist()]
+            keys = band_keys(items, starts, bands, rows_a_band)
+            ends = [*starts[1:].tolist(), len(items)]
+            sets = [items[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
+            arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            arrays += [pa.array([len(x) for x in sets], pa.int64()), pa.array(map(_signature, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, long_lists(list(keys))], names)
 
     return run
 
@@ -92,7 +115,7 @@ def _parts(n: int):
             ids, items = [], []
             for text, wanted in zip(column(batch, "text"), column(batch, "wanted"), strict=True):
                 for w in wanted:
-                    some = shingle_set(ascii_words((text or "")[w["start"] : w["end"]]), n)
+                    some = shingle_set(word_ids((text or "")[w["start"] : w["end"]]), n)
                     if _signature(some) == w["sig"]:  # not so for another row of the same doc_id
                         ids.append(w["id"])
                         items.append(some)

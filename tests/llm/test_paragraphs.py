@@ -1,7 +1,9 @@
 import random
 
 from pagelattice.llm import paragraphs as P
-from pagelattice.llm._common import ascii_words, shingle_set
+import numpy as np
+
+from pagelattice.llm._common import shingle_set, word_ids
 
 
 def brute(rows, percent=80, n=5, least=20):
@@ -9,10 +11,10 @@ def brute(rows, percent=80, n=5, least=20):
     for doc, text in rows:
         if doc is None or text is None:
             continue
-        for nth, (a, b, line) in enumerate(P.lines(text)):
-            words = ascii_words(line)
+        for nth, (a, b) in enumerate(P.lines(text)):
+            words = text[a:b].lower().split()
             if len(words) >= least:
-                found.append((doc, nth, a, b, set(shingle_set(words, n).tolist())))
+                found.append((doc, nth, a, b, {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}))
     root = list(range(len(found)))
 
     def find(i):
@@ -73,3 +75,25 @@ def test_bands_reach_the_recall():
     for percent in (60, 80, 90):
         bands, rows = P.tuned_bands(percent)
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= P.RECALL and bands * rows <= P.FUNCTIONS
+
+
+def test_sets_of_many_paragraphs_are_those_of_each():
+    rng = random.Random(4)
+    words = [" ".join("w%d" % rng.randrange(6) for _ in range(rng.randint(1, 30))) for _ in range(50)]
+    ids = [word_ids(w) for w in words]
+    items, starts = P.shingle_sets(np.concatenate(ids), np.array([len(i) for i in ids]), 5)
+    ends = [*starts[1:].tolist(), len(items)]
+    for i, a, b in zip(ids, starts.tolist(), ends, strict=True):
+        assert items[a:b].tolist() == shingle_set(i, 5).tolist()
+
+
+def test_word_hashes_by_parts(monkeypatch):
+    from pagelattice.llm import _common
+
+    data = b" Ab\tcd  " + b"x" * 300 + b"\x0bEF\r\n ab CD"
+    whole = _common.word_hashes(data)
+    assert [data[s : s + 2].lower() for s in whole[1].tolist()] == [b"ab", b"cd", b"xx", b"ef", b"ab", b"cd"]
+    assert whole[0][0] == whole[0][4] and whole[0][1] == whole[0][5] and len(set(whole[0].tolist())) == 4
+    monkeypatch.setattr(_common, "_AT_ONCE", 7)
+    again = _common.word_hashes(data)
+    assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
