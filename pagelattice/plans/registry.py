@@ -35,7 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 r6 = lambda c: F.round(c, 6)
-A, B = F.col("a.bbox"), F.col("b.bbox")
 area = AREA.format
 meet = MEET.format
 
@@ -55,11 +54,12 @@ PAIRS = "FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.seq < b.seq"
     a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0 AS touch,
     least(a.x0, b.x0) AS ux0, greatest(a.y1, b.y1) AS uy1 {PAIRS}""")
 def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = G.bounding(A, B)
+    a, b = F.col("a.bbox"), F.col("b.bbox")
+    u = G.bounding(a, b)
     return _pairs(spark, sf_dir).select(
-        "a.page_id", F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), G.area(A).alias("area_a"), G.intersection(A, B).alias("common"),
-        r6(G.overlap_of_first(A, B)).alias("of_first"), r6(G.overlap_of_second(A, B)).alias("of_second"),
-        r6(G.overlap_of_smaller(A, B)).alias("of_smaller"), r6(G.iou(A, B)).alias("iou"), G.intersects(A, B).alias("touch"),
+        "a.page_id", F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), G.area(a).alias("area_a"), G.intersection(a, b).alias("common"),
+        r6(G.overlap_of_first(a, b)).alias("of_first"), r6(G.overlap_of_second(a, b)).alias("of_second"),
+        r6(G.overlap_of_smaller(a, b)).alias("of_smaller"), r6(G.iou(a, b)).alias("iou"), G.intersects(a, b).alias("touch"),
         u["x0"].alias("ux0"), u["y1"].alias("uy1"),
     )
 

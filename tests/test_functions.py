@@ -134,3 +134,15 @@ def test_sane_evaluation(spark):
     got = df.select(L.sane_evaluation(F.col("v")).alias("e")).first().e
     assert (got.layoutScore, got.contentScore, got.semanticScore) == (1.0, 0.0, 0.0) and got.overallScore == pytest.approx(0.28 + 0.11)
     assert len(got.criticalErrors) == 20 and got.criticalErrors[0].severity == "major" and len(got.criticalErrors[0].description) == 300
+
+
+def test_catalogue_icons(value):
+    from pagelattice.functions.icons import STROKES, catalog_svg, catalog_uri
+
+    svg, other, uri = value(
+        catalog_svg(F.lit("Growth"), F.lit("00aa11"), F.lit("A & B")), catalog_svg(F.lit("?"), F.lit("x"), F.lit(None).cast("string")),
+        catalog_uri(F.lit("crm"), F.lit("000000"), F.lit("")),
+    )
+    assert STROKES["analytics"] in svg and "#00AA11" in svg and "A &amp; B" in svg
+    assert STROKES["application"] in other and "#333333" in other and uri.startswith("data:image/svg+xml;base64,PHN2Zy")
+    assert len(STROKES) == 17
