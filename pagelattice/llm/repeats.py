@@ -5,7 +5,8 @@ anchor), so only strings with equal anchors have to be compared. Starts that sha
 run; equal runs repeat as a whole. Different runs of one anchor go into blocks of bounded size, whose
 suffixes are sorted: with ties in text order, the previous and next smaller positions of a suffix are
 its neighbours, and one that shares `length` bytes is its earlier match. An anchor with very many
-different runs is not gathered: its strings meet by their 128-bit hashes instead.
+different runs is not gathered: bands of its starts meet by 128-bit hashes of what all strings of a band
+share and of what they cover, and only bands that share the one but not the other are cut finer.
 """
 
 from __future__ import annotations
@@ -19,29 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, column, mix, narrow, pieces, utf8
+from ._common import Scratch, column, mix, narrow, pieces, powers, prefix_sums, utf8
 
 #: Bytes of a block whose suffixes are sorted together (at least; an anchor's runs stay together).
 BLOCK_BYTES = 1 << 20
 #: Different runs of one anchor up to which they go into a block.
 GATHERED = 1024
+#: Widths of the bands of starts that are compared for an anchor with more runs.
+BANDS = (64, 16, 4, 1)
 #: Starts of a text that are worked on at once.
 STEP = 1 << 18
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _PLACE = np.uint64((1 << 20) - 1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept at the largest size asked for."""
-    size = 1 << max(10, n - 1).bit_length()
-    if size not in _POWERS:
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
 
 
 def anchor_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
@@ -56,9 +46,8 @@ def anchor_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
 def _anchor_runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     gram = max(1, length // 4)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[np.frombuffer(data, np.uint8)] * up[:n], out=sums[1:])
+    down = powers(n + 1)[1]
+    sums = prefix_sums(data)
     grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     # Smallest hash of each stretch of `wide` grams, the leftmost on ties: blockwise running minima.
     wide = length - gram + 1
@@ -184,23 +173,74 @@ def _compared(length: int):
     return run
 
 
-def _windows(length: int):
-    names = ["anchor", "run", "doc_id", "text_key", "first", "start", "offset", "h1", "h2"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] * 2
+def _bands(length: int, width: int):
+    """Bands of starts, by their distance to the anchor: a run's part of each aligned band of `width` distances."""
+    names = ["anchor", "run", "doc_id", "text_key", "first", "offset", "bytes", "lo", "hi", "band", "c1", "c2", "v1", "v2"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 3 + [pa.int64()] * 4
+
+    def two(data: bytes) -> tuple[int, int]:
+        return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), np.int64).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
             rows = []
-            for anchor, r, doc, key, first, offset, data in zip(*(column(batch, c) for c in ("anchor", "run", "doc_id", "text_key", "first", "offset", "bytes")), strict=True):
-                for q in range(len(data) - length + 1):
-                    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(data[q : q + length]), np.int64).tolist()
-                    rows.append((anchor, r, doc, key, first, q, offset - q, h1, h2))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            for row in zip(*(column(batch, c) for c in names[:9]), strict=True):
+                offset, data, lo, hi = row[5:9]
+                for band in range(lo // width, (hi - 1) // width + 1):
+                    a, b = max(lo, band * width), min(hi, (band + 1) * width)
+                    # what every string of the whole band has: it lies within the run, as the run meets the band
+                    core = data[offset - band * width : offset - (band + 1) * width + 1 + length]
+                    cover = data[offset - b + 1 : offset - a + length]
+                    rows.append((*row[:7], a, b, band, *two(core), *two(b"%d " % a + cover)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
+def _banded(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(anchor, run, other, earlier) by bands of starts, wide ones first.
+
+    Bands with equal covers repeat as a whole; of those, one goes on to finer bands if another run
+    shares the band's core but not the cover. Bands whose core nobody shares hold nothing.
+    """
+    keys = "anchor bigint, run bigint, doc_id bigint, text_key bigint, first int, offset int, bytes binary, lo int, hi int"
+    schema = keys + ", band int, c1 bigint, c2 bigint, v1 bigint, v2 bigint"
+    n = F.octet_length("bytes") - length  # starts of a run, less one
+    todo = segments.select(
+        "anchor", "run", "doc_id", "text_key", "first", "offset", "bytes",
+        (F.col("offset") - n).alias("lo"), (F.col("offset") + 1).alias("hi"),
+    )
+    where = F.struct("doc_id", "text_key", "first")
+    core, cover = ["anchor", "band", "c1", "c2"], ["anchor", "band", "c1", "c2", "v1", "v2"]
+    found = []
+    for width in (w for w in BANDS if 2 * w <= length or w == 1):
+        level = scratch.save(todo.mapInArrow(_bands(length, width), schema).dropDuplicates(["anchor", "run", "band"]), "bands")
+        cores = level.groupBy(*core).agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a < b").select(*core)
+        cores = scratch.save(cores, "cores")
+        level = level.join(cores, core)
+        covers = level.groupBy(*cover).agg(F.count("*").alias("many"), F.min(where).alias("least"))
+        covers = scratch.save(covers, "covers")
+        several = covers.groupBy(*core).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*core, F.lit(True).alias("go"))
+        level = scratch.save(level.join(covers, cover).join(scratch.save(several, "several"), core, "left"), "level")
+        both = F.array("lo", "hi")
+        found.append(
+            level.where("many > 1").select("anchor", "run", "offset", both.alias("other"), F.when(where > F.col("least"), both).alias("earlier"))
+        )
+        todo = level.where(F.col("go") & (where == F.col("least"))).select(
+            "anchor", "run", "doc_id", "text_key", "first", "offset", "bytes", "lo", "hi"
+        )
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # From distances [lo, hi) to starts within the run.
+    turned = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col("offset") - F.col(c)[1] + 1, F.col("offset") - F.col(c)[0] + 1))
+    every = every.select("anchor", "run", turned("other").alias("other"), turned("earlier").alias("earlier"))
+    return every.groupBy("anchor", "run").agg(
+        F.flatten(F.collect_list("other")).alias("other"), F.flatten(F.collect_list("earlier")).alias("earlier")
+    )
+
+
 def _removed(length: int, with_kept: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_kept
     kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.binary()]
@@ -250,7 +290,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     )
     occurrences = scratch.save(occurrences, "occurrences")
     anchors = occurrences.groupBy("anchor").agg(F.count("*").alias("all"), F.min("run").alias("lo"), F.max("run").alias("hi"))
-    anchors = anchors.where("all > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed"))
+    # Written first, so that the join below has two plain exchanges, whose hot keys can be split.
+    anchors = scratch.save(anchors.where("all > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("mixed")), "anchors")
     shared = scratch.save(occurrences.join(anchors, "anchor"), "shared")
     scratch.drop(occurrences)
     runs = shared.groupBy("anchor", "run").agg(
@@ -276,24 +317,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     schema = "anchor bigint, run bigint, other array<int>, earlier array<int>"
     found = small.mapInArrow(_compared(length), schema)
 
-    windows = segments.where("big").mapInArrow(
-        _windows(length),
-        "anchor bigint, run bigint, doc_id bigint, text_key bigint, first int, start int, offset int, h1 bigint, h2 bigint",
-    )
-    where = F.struct("doc_id", "text_key", "first")
-    same = ["anchor", "offset", "h1", "h2"]
-    met = windows.groupBy(*same).agg(F.min("run").alias("lo"), F.max("run").alias("hi"), F.min(where).alias("least"))
-    met = windows.join(met.where("lo < hi").select(*same, "least"), same)
-    pairs = lambda starts: F.flatten(F.transform(starts, lambda q: F.array(q, q + 1)))
-    met = met.groupBy("anchor", "run").agg(
-        pairs(F.collect_set("start")).alias("other"),
-        pairs(F.collect_set(F.when(where > F.col("least"), F.col("start")))).alias("earlier"),
-    )
-    found = scratch.save(found.unionByName(met), "found")
+    found = scratch.save(found.unionByName(_banded(segments.where("big"), length, scratch)), "found")
     scratch.drop(segments)
 
     marks = runs.join(found, ["anchor", "run"], "left").where("many > 1 or other is not null")
-    marks = marks.select("anchor", "run", "many", "at", "other", "earlier")
+    marks = scratch.save(marks.select("anchor", "run", "many", "at", "other", "earlier"), "marks")
     hit = shared.join(marks, ["anchor", "run"])
     whole = F.array(F.col("first"), F.col("last") + 1)
     shifted = lambda starts: F.transform(starts, lambda q: q + F.col("first"))
