@@ -349,8 +349,8 @@ def session_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SESSIONS}, n AS (SELECT max(updated_at) AS now FROM s) SELECT session_id, updated_at FROM s, n WHERE updated_at >= now - 21600000")
 def ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions, _ = _sessions(spark, sf_dir)
-    now = sessions.agg(F.max("updated_at").alias("now"))  # one row
-    return state.alive(sessions.crossJoin(F.broadcast(now)), F.col("now"), F.lit(21_600_000)).select("session_id", "updated_at")
+    now = sessions.agg(F.max("updated_at")).scalar()
+    return state.alive(sessions, now, F.lit(21_600_000)).select("session_id", "updated_at")
 
 
 @query(f"WITH {_SESSIONS} SELECT session_id, updated_at FROM s ORDER BY updated_at DESC, session_id LIMIT 24")
