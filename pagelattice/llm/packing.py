@@ -207,7 +207,7 @@ def best_fit_packing(
     nth = F.col("rank") - F.col("first_rank")
     bin_of = (F.col("first_bin") + F.floor(nth / F.col("per_bin"))).cast("bigint")
     return met.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids,
+        "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", *["ids"] * with_ids,
         bin_of.alias("sequence_id"),
         (F.col("base") + (nth % F.col("per_bin")) * F.col("length")).cast("bigint").alias("offset"),
     )
