@@ -25,9 +25,10 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_CANDIDATE_LONGEST = 512
-#: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes).
+#: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes), and
+#: the longest of them; candidates of any length are scored.
 LABELLED = 400
+LONGEST = 512
 #: Confidence of the compatibility test of two states; share of labelled credentials below the threshold.
 ALPHA = 0.05
 BELOW = 0.02
@@ -60,7 +61,7 @@ def candidates(text: str | None) -> list[tuple[int, str]]:
     return [
         (m.start(), m[0])
         for m in _CANDIDATE.finditer(text)
-        if len(m[0]) <= _CANDIDATE_LONGEST and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
     ]
 
 
@@ -160,7 +161,7 @@ class Automaton:
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         found = {(kind, value) for text in column(batch, "text") for kind, _, _, value in base_spans(text)}
-        rows = [(k, v, xxhash.xxh3_64_intdigest(v.encode()) >> 1) for k, v in found if len(v) <= _CANDIDATE_LONGEST]
+        rows = [(k, v, xxhash.xxh3_64_intdigest(v.encode()) >> 1) for k, v in found if len(v) <= LONGEST]
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, ["kind", "value", "h"])
