@@ -9,6 +9,7 @@ member, and no link between different components is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from ._common import Scratch, is_empty
 
 
+#: Slices of the keys; more of them need less disk and read the keys more often.
+SLICES = 4
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is its smallest reachable node.
 
@@ -68,11 +73,13 @@ def linked(
     fragments: Callable[[DataFrame], DataFrame],
     percent: int,
     scratch: Scratch,
+    spent: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) over links of at least percent % Jaccard among ids that share a key.
 
     keyed: (id, keys array<bigint>, spare array<bigint>), where a spare only meets keys; meta: (id unique, n, sig binary); fragments(ids) gives
-    (id, part, items array<bigint>) of those ids' sets, cut at the same places of the global order.
+    (id, part, items array<bigint>) of those ids' sets, cut at the same places of the global order. spent is
+    the table behind keyed, if it may go once the keys are read.
 
     1. Spokes: each member of a key is held against the key's hub; the elements that only one of the two
        has are counted fragment by fragment and summed per pair.
@@ -86,18 +93,25 @@ def linked(
     # Only keys make a hub; a spare meets the keys that equal it, not other spares.
     keys = keyed.select("id", F.explode("keys").alias("key"), F.lit(True).alias("chosen"))
     exploded = keys.unionByName(keyed.select("id", F.explode("spare").alias("key"), F.lit(False).alias("chosen")))
-    hubs = exploded.groupBy("key").agg(
-        F.min(F.when(F.col("chosen"), F.col("id"))).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")
-    )
-    hubs = scratch.save(hubs.where("hub is not null and first < last").select("key", "hub"), "hubs")
     copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = scratch.save(copies.where("rep < last").select("sig", "rep"), "copies")
     same = meta.where("n > 0").join(copies, "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    same = scratch.save(same, "copies")
+    same = scratch.save(same, "same")
     # A hub is the smallest id of its key, so it is never a copy of a smaller one; copies need no spoke.
-    members = exploded.join(hubs, "key").where("id <> hub").join(same.select(F.col("a").alias("id")), "id", "left_anti")
-    members = scratch.save(members.select("key", "hub", "id"), "members")
-    scratch.drop(hubs)
+    # Keys are dealt with in slices, so that only a slice of them is on the exchanges' disks at a time.
+    slices = []
+    for i in range(SLICES):
+        part = exploded.where(F.pmod("key", F.lit(SLICES)) == i)
+        hubs = part.groupBy("key").agg(
+            F.min(F.when(F.col("chosen"), F.col("id"))).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")
+        )
+        hubs = scratch.save(hubs.where("hub is not null and first < last").select("key", "hub"), "hubs")
+        met = part.join(hubs, "key").where("id <> hub").join(same.select(F.col("a").alias("id")), "id", "left_anti")
+        slices.append(scratch.save(met.select("key", "hub", "id"), "members"))
+        scratch.drop(hubs)
+    members = reduce(DataFrame.unionByName, slices)
+    if spent is not None:
+        scratch.drop(spent)
     spokes = scratch.save(members.select("hub", "id").distinct(), "spokes")
     if is_empty(spokes):
         return components(same, scratch)
@@ -139,7 +153,7 @@ def linked(
 
     group = members.select("key", "id").unionByName(members.select("key", F.col("hub").alias("id")).distinct())
     group = scratch.save(placed(group, "id", "component"), "groups")
-    scratch.drop(members, spokes)
+    scratch.drop(*slices, spokes)
     held = group.groupBy("key", "component").agg(F.count("*").alias("many"))
     held = held.groupBy("key").agg(
         F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("several")
@@ -152,11 +166,16 @@ def linked(
         return labels
     deltas = scratch.save(differences(open_spokes), "deltas")
     open_spokes = scratch.save(measured(deltas), "tested")
-    elements = scratch.save(deltas.select("b", "a", F.explode("delta").alias("element")), "elements")
+    elements = deltas.select("b", "a", F.explode("delta").alias("element"))
+    slices = []
+    for i in range(SLICES):
+        part = elements.where(F.pmod("element", F.lit(SLICES)) == i)
+        seen = part.groupBy("b", "element").agg(F.count("*").alias("seen")).where("seen > 1")
+        seen = scratch.save(seen, "seen")
+        slices.append(scratch.save(part.join(seen, ["b", "element"]), "shared"))
+        scratch.drop(seen)
     scratch.drop(deltas)
-    shared = elements.groupBy("b", "element").agg(F.count("*").alias("seen")).where("seen > 1")
-    shared = scratch.save(elements.join(shared, ["b", "element"]), "shared")
-    scratch.drop(elements)
+    shared = reduce(DataFrame.unionByName, slices)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
     # frequent out, and what nobody else has, and a common element still remains.
     ranked = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
@@ -174,7 +193,7 @@ def linked(
     # left: how many elements of the delta come from this one on, in the order from rare to frequent.
     ranked = ranked.select("hub", "id", F.col("na").alias("n"), "d", "good", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("keep")).alias("counts"))
     ranked = scratch.save(ranked, "ranked")
-    scratch.drop(shared)
+    scratch.drop(*slices)
     rare = ranked.where("counts").select("hub", "element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("la"))
     lone = ranked.where("not good").select("hub", "element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("lb"))
     # Only elements that some a counts on and some b has.

@@ -201,8 +201,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
         cut = rows.mapInArrow(_parts(n), "id bigint, part int, items array<bigint>")
         return cut.groupBy("id", "part").agg(F.first("items").alias("items"))
 
-    labels = linked(keyed.where("id is not null").select("id", "keys", "spare"), meta, fragments, percent, scratch)
-    nulls = keyed.where("id is null").select(
+    nulls = scratch.save(keyed.where("id is null").select("id", "n"), "nulls")
+    keys = keyed.where("id is not null").select("id", "keys", "spare")
+    labels = linked(keys, meta, fragments, percent, scratch, spent=keyed)
+    nulls = nulls.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )
     known = meta.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
