@@ -85,10 +85,10 @@ def linked(
        has are counted fragment by fragment and summed per pair.
     2. Keys whose members now lie in several components are open. Their members are held against one
        reference h, the root of the key's largest component, and the elements kept in which they differ
-       (the delta). For members a and b, A ^ B is the difference of their deltas; if b does not link
-       to h, a and b can only link by sharing more than half of a's delta. So they must share one of
-       the rarer elements of it: those meet, by element, first with one hub of the element, then with
-       what is left in other components.
+       (the delta). Those that link to h are linked with it. For members a and b, A ^ B is the
+       difference of their deltas; if b does not link to h, a and b can only link by sharing more than
+       half of a's delta. So they must share one of the rarer elements of it: those meet, by element,
+       first with one hub of the element, then with what is left in other components.
     """
     # Only keys make a hub; a spare meets the keys that equal it, not other spares.
     keys = keyed.select("id", F.explode("keys").alias("key"), F.lit(True).alias("chosen"))
@@ -194,6 +194,11 @@ def linked(
     ranked = ranked.select("hub", "id", F.col("na").alias("n"), "d", "good", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("keep")).alias("counts"))
     ranked = scratch.save(ranked, "ranked")
     scratch.drop(*slices)
+    # Those that link to the reference hang on it from here on; only the others are still to be met.
+    near = open_spokes.where("good").select("a", "b")
+    if not is_empty(near):
+        links = scratch.save(links.unionByName(near), "links")
+        labels = components(links, scratch)
     rare = ranked.where("counts").select("hub", "element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("la"))
     lone = ranked.where("not good").select("hub", "element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("lb"))
     # Only elements that some a counts on and some b has.
