@@ -3,7 +3,7 @@
 Fast Hadamard pseudo-rotations map a unit vector to its nearest signed axis, one table per rotation. A
 query looks into the buckets of its nearest signed axes in every table (multiprobe), and all members
 found are ranked again by the exact cosine. Buckets are worked on in blocks of bounded size, all of
-them: no bucket is capped.
+them: no bucket is capped. A query that meets too few members looks into all buckets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, is_empty
 
 #: Tables and buckets probed in each. For vectors without any structure (the hardest case) in 64
 #: dimensions this finds 0.97 of the true five nearest; clustered ones are all found.
@@ -141,12 +141,35 @@ def nearest_neighbours(
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ["bucket", "block"]
-    found = asked.select("query_id", "embedding", *keys).groupBy(*keys).cogroup(
-        placed.select("ids", "embedding", *keys).groupBy(*keys)
-    )
-    found = found.applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
-    # The same pair may come from several tables, with last bits that depend on the block: one value for all.
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def ranked(asked: DataFrame, placed: DataFrame) -> DataFrame:
+        found = asked.select("query_id", "embedding", *keys).groupBy(*keys).cogroup(
+            placed.select("ids", "embedding", *keys).groupBy(*keys)
+        )
+        found = found.applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
+        # The same pair may come from several tables, with last bits that depend on the block: one value for all.
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    near = scratch.save(ranked(asked, placed), "near")
+    # Queries that met fewer than there are candidates for: they look into all buckets of their width, in one table.
+    width = F.size("embedding").alias("width")
+    many = base.groupBy(width).agg((F.count("*") - 1).alias("others"))
+    short = base.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding", width)
+    short = short.join(F.broadcast(many), "width")
+    short = short.join(near.groupBy("query_id").agg(F.count("*").alias("got")), "query_id", "left")
+    short = short.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "others")).select("query_id", "embedding", "width")
+    short = scratch.save(short, "short")
+    if is_empty(short):
+        return near
+    bucket = F.col("bucket")
+    whole = sizes.where(F.shiftright(bucket, 32).bitwiseAND(F.lit(255)) == 0)
+    whole = whole.select("bucket", "blocks", F.shiftright(bucket, 40).cast("int").alias("width"))
+    whole = whole.join(F.broadcast(short.select("width").distinct()), "width")
+    asked = short.join(F.broadcast(whole), "width")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(F.broadcast(whole.select("bucket")), "bucket", "left_semi")
+    rest = near.join(short.select("query_id"), "query_id", "left_anti").select(*near.columns)
+    return rest.unionByName(ranked(asked, placed))
