@@ -25,6 +25,7 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes), and
 #: the longest of them; candidates of any length are scored.
 LABELLED = 400
@@ -54,15 +55,24 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str | None) -> list[tuple[int, str]]:
-    """Runs of credential characters with a digit and a letter."""
+def candidates(text: str | None, least: float = inf) -> list[tuple[int, str]]:
+    """Runs of credential characters of least characters or more, and shorter ones of 16 with a digit and a letter.
+
+    A run with dots comes whole, without the dots at its ends, and then cut at the dots.
+    """
     if not text:
         return []
-    return [
+    found = {
         (m.start(), m[0])
         for m in _CANDIDATE.finditer(text)
         if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
-    ]
+    }
+    for m in _RUN.finditer(text):
+        if len(m[0]) >= least:
+            left = len(m[0]) - len(m[0].lstrip("."))
+            some = [(0, m[0]), (left, m[0].strip(".")), *((x.start(), x[0]) for x in re.finditer(r"[^.]+", m[0]))]
+            found |= {(m.start() + at, value) for at, value in some if len(value) >= least}
+    return sorted(found, key=lambda x: (x[0], -len(x[1])))
 
 
 class Automaton:
@@ -76,6 +86,7 @@ class Automaton:
         self._merge()
         scores = sorted(self.score(s) for s in samples)
         self.threshold = scores[int(BELOW * len(scores))] if scores else inf
+        self.least = min(map(len, samples), default=inf)
 
     def _add(self, word: str) -> None:
         at = 0
@@ -185,13 +196,15 @@ def secret_spans(text: str | None, formats: dict[str, Automaton]) -> list[tuple[
     """All spans of a text: base ones, and candidates outside them that a format explains."""
     base = base_spans(text)
     spans: list[tuple[str, int, int, float | None]] = [(k, s, e, None) for k, s, e, _ in base]
-    for start, value in candidates(text):
+    done = 0
+    for start, value in candidates(text, min((f.least for f in formats.values()), default=inf)):
         end = start + len(value)
-        if any(s < end and start < e for _, s, e, _ in base):
+        if start < done or any(s < end and start < e for _, s, e, _ in base):
             continue
         best = max((f.score(value) - f.threshold for f in formats.values()), default=-inf)
         if best >= 0:
             spans.append(("format", start, end, best))
+            done = end
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
