@@ -1,6 +1,6 @@
 """Operator 10: repeated paragraphs by MinHash banding.
 
-Paragraphs (lines) of enough words are sets of five-word shingles. Bands of MinHash values, tuned for a
+Paragraphs (lines) are sets of five-word shingles, those of fewer words one shingle. Bands of MinHash values, tuned for a
 recall at the similarity asked for, bring likely copies together; exact Jaccard decides; linked
 paragraphs form clusters of which the first is kept.
 """
@@ -22,8 +22,8 @@ from .links import linked
 #: Share of pairs at the threshold that the bands must find, and the most hash functions to spend on it.
 RECALL = 0.999
 FUNCTIONS = 32
-#: Shorter paragraphs (headings, boilerplate lines) are not passages.
-WORDS = 20
+#: Every line with a word takes part, so that no stretch of a text broken into short lines is left out.
+WORDS = 1
 
 
 def tuned_bands(percent: int, recall: float = RECALL, functions: int = FUNCTIONS) -> tuple[int, int]:
