@@ -1,9 +1,11 @@
 """Operator 8: secret scans with formats learned by grammar inference.
 
 Base patterns label credentials. Per kind a prefix tree of labelled credentials (over character
-classes) is generalised by merging statistically compatible states into a probabilistic automaton.
-Every further candidate is scored by its likelihood under the automata, and kept where it is at least
-as plausible as the labelled credentials of a kind.
+classes) is generalised by merging statistically compatible states into a probabilistic automaton:
+first states of one depth, which keeps lengths and prefixes, then states of different depths where
+enough credentials say so. Every further candidate is scored by its whole likelihood under the automata
+against that under a model of the corpus's ordinary runs of characters, and kept where that ratio is
+one of labelled credentials and not one of ordinary runs.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections.abc import Iterator
 from math import inf, log, sqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,15 +27,22 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes), and
 #: the longest of them; candidates of any length are scored.
 LABELLED = 400
 LONGEST = 512
-#: Confidence of the compatibility test of two states; share of labelled credentials below the threshold.
+#: Distinct ordinary runs (outside base spans, those with the smallest hashes) from which their model is counted.
+ORDINARY = 4000
+#: Confidence of all compatibility tests of a state together; credentials that must pass through both of two states
+#: of one depth, or of different depths, for a test to have any power.
 ALPHA = 0.05
+THICK, LOOP = 10, 40
+#: Share of labelled credentials below the threshold, and the largest chance of ordinary runs above it.
 BELOW = 0.02
+ABOVE = 0.001
+#: Scores a worker keeps.
+KEPT = 1 << 18
 
 _CLASSES = str.maketrans(
     {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}}
@@ -55,38 +65,72 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str | None, least: float = inf) -> list[tuple[int, str]]:
-    """Runs of credential characters of least characters or more, and shorter ones of 16 with a digit and a letter.
+def candidates(text: str | None, least: int) -> list[tuple[int, str]]:
+    """Runs of credential characters of least characters or more, in order, the longer first.
 
-    A run with dots comes whole, without the dots at its ends, and then cut at the dots.
+    A run with dots comes whole, without the dots at its ends, and cut at the dots.
     """
     if not text:
         return []
-    found = {
-        (m.start(), m[0])
-        for m in _CANDIDATE.finditer(text)
-        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
-    }
+    found = set()
     for m in _RUN.finditer(text):
-        if len(m[0]) >= least:
-            left = len(m[0]) - len(m[0].lstrip("."))
-            some = [(0, m[0]), (left, m[0].strip(".")), *((x.start(), x[0]) for x in re.finditer(r"[^.]+", m[0]))]
-            found |= {(m.start() + at, value) for at, value in some if len(value) >= least}
-    return sorted(found, key=lambda x: (x[0], -len(x[1])))
+        run, at = m[0], m.start()
+        if len(run) >= least:
+            found.add((at, run))
+            if "." in run:
+                found.add((at + len(run) - len(run.lstrip(".")), run.strip(".")))
+                found |= {(at + x.start(), x[0]) for x in re.finditer(r"[^.]+", run)}
+    return sorted((x for x in found if len(x[1]) >= least), key=lambda x: (x[0], -len(x[1])))
 
 
-class Automaton:
-    """A probabilistic automaton by state merging over a prefix tree (red and blue states)."""
+class Ordinary:
+    """What ordinary runs look like: chances of a character class after another, ends included."""
+
+    SYMBOLS = "dhlU+/_.=-"
 
     def __init__(self, samples: list[str]):
+        n = len(self.SYMBOLS) + 1
+        at = {c: i for i, c in enumerate(self.SYMBOLS)}
+        seen = np.ones((n, n))
+        for sample in samples:
+            codes = [n - 1, *(at[c] for c in sample.translate(_CLASSES)), n - 1]
+            np.add.at(seen, (codes[:-1], codes[1:]), 1)
+        logs = np.log(seen / seen.sum(1, keepdims=True)).tolist()
+        ends = [*self.SYMBOLS, ""]
+        self.logs = {(a, b): logs[i][j] for i, a in enumerate(ends) for j, b in enumerate(ends)}
+
+    def score(self, run: str) -> float:
+        word, total, before = run.translate(_CLASSES), 0.0, ""
+        for symbol in word:
+            total += self.logs[before, symbol]
+            before = symbol
+        return total + self.logs[before, ""]
+
+
+class Automaton:
+    """A probabilistic automaton by state merging over a prefix tree of samples.
+
+    Depth by depth, the children of the states of one depth are merged where ends and next symbols agree
+    within Hoeffding's bound, in them and in what follows; a state that few samples reach joins one that
+    already has its symbols. Then a state merges with an earlier one of another depth if both are reached by
+    LOOP samples and agree likewise, which makes loops.
+    """
+
+    def __init__(self, samples: list[str], ordinary: Ordinary | None = None):
         self.ends = [0]
         self.next: list[dict[str, tuple[int, int]]] = [{}]
+        self._root = [0]
+        self.ordinary = ordinary or Ordinary([])
         for sample in samples:
             self._add(sample.translate(_CLASSES))
-        self._merge()
+        self._tests = max(1, len(samples))
+        self._merge_levels()
+        self._merge_loops()
+        self._number()
         scores = sorted(self.score(s) for s in samples)
-        self.threshold = scores[int(BELOW * len(scores))] if scores else inf
-        self.least = min(map(len, samples), default=inf)
+        # A run with this ratio comes up among ordinary ones with a chance of ABOVE at most (Markov's inequality).
+        self.threshold = max(scores[int(BELOW * len(scores))], -log(ABOVE)) if scores else inf
+        self.least = self._shortest()
 
     def _add(self, word: str) -> None:
         at = 0
@@ -96,21 +140,30 @@ class Automaton:
                 to = len(self.next)
                 self.next.append({})
                 self.ends.append(0)
+                self._root.append(to)
             self.next[at][symbol] = (to, n + 1)
             at = to
         self.ends[at] += 1
 
+    def _find(self, q: int) -> int:
+        while self._root[q] != q:
+            self._root[q] = self._root[self._root[q]]
+            q = self._root[q]
+        return q
+
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(n for _, n in self.next[q].values())
 
     def _compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, done = [(a, b)], set()
+        wide = sqrt(log(2 * self._tests / ALPHA) / 2)
         while todo:
-            a, b = todo.pop()
-            na, nb = self._total(a), self._total(b)
-            if not na or not nb:
+            a, b = (self._find(q) for q in todo.pop())
+            if a == b or (a, b) in done:
                 continue
-            bound = sqrt(log(2 / ALPHA) / 2) * (1 / sqrt(na) + 1 / sqrt(nb))
+            done.add((a, b))
+            na, nb = self._total(a), self._total(b)
+            bound = wide * (1 / sqrt(na) + 1 / sqrt(nb))
             if abs(self.ends[a] / na - self.ends[b] / nb) > bound:
                 return False
             for symbol in self.next[a].keys() | self.next[b].keys():
@@ -118,47 +171,82 @@ class Automaton:
                 tb, kb = self.next[b].get(symbol, (None, 0))
                 if abs(ka / na - kb / nb) > bound:
                     return False
-                if ta is not None and tb is not None and ta != tb:
+                if ta is not None and tb is not None:
                     todo.append((ta, tb))
         return True
 
-    def _fold(self, into: int, tree: int) -> None:
-        todo = [(into, tree)]
+    def _fold(self, into: int, other: int) -> None:
+        todo = [(into, other)]
         while todo:
-            a, b = todo.pop()
+            a, b = (self._find(q) for q in todo.pop())
+            if a == b:
+                continue
+            self._root[b] = a
             self.ends[a] += self.ends[b]
             for symbol, (tb, kb) in self.next[b].items():
-                if symbol in self.next[a]:
-                    ta, ka = self.next[a][symbol]
-                    self.next[a][symbol] = (ta, ka + kb)
-                    if ta != tb:
-                        todo.append((ta, tb))
+                ta, ka = self.next[a].get(symbol, (tb, 0))
+                self.next[a][symbol] = (ta, ka + kb)
+                todo.append((ta, tb))
+
+    def _covers(self, a: int, b: int) -> bool:
+        return self.next[b].keys() <= self.next[a].keys() and (not self.ends[b] or self.ends[a] > 0)
+
+    def _merge_levels(self) -> None:
+        level = [0]
+        while level:
+            below = {self._find(to) for q in level for to, _ in self.next[q].values()}
+            level = []
+            for q in sorted(below, key=lambda q: (-self._total(q), q)):
+                thin = self._total(q) < THICK
+                for other in level:
+                    if (self._covers(other, q) if thin else True) and self._compatible(other, q):
+                        self._fold(other, q)
+                        break
                 else:
-                    self.next[a][symbol] = (tb, kb)
+                    level.append(q)
 
-    def _merge(self) -> None:
-        red, seen = [0], {0}
+    def _merge_loops(self) -> None:
+        red = [0]
         while True:
-            blue = next(((q, s, to) for q in red for s, (to, _) in sorted(self.next[q].items()) if to not in seen), None)
+            reached = [self._find(to) for q in red for _, (to, _) in sorted(self.next[q].items())]
+            blue = next((q for q in reached if q not in red), None)
             if blue is None:
-                break
-            q, symbol, to = blue
-            for r in red:
-                if self._compatible(r, to):
-                    self.next[q][symbol] = (r, self.next[q][symbol][1])
-                    self._fold(r, to)
+                return
+            thick = self._total(blue) >= LOOP
+            for other in red:
+                if thick and self._total(other) >= LOOP and self._covers(other, blue) and self._compatible(other, blue):
+                    self._fold(other, blue)
+                    red = list(dict.fromkeys(map(self._find, red)))
                     break
             else:
-                red.append(to)
-                seen.add(to)
-        number = {q: i for i, q in enumerate(red)}
-        self.ends = [self.ends[q] for q in red]
-        self.next = [{s: (number[t], n) for s, (t, n) in self.next[q].items()} for q in red]
-
-    def score(self, credential: str) -> float:
-        """Mean log-likelihood a symbol, the end included; minus infinity where no path leads."""
+                red.append(blue)
+
+    def _number(self) -> None:
+        order, at = [0], 0
+        while at < len(order):
+            order += [t for t in dict.fromkeys(self._find(to) for to, _ in self.next[order[at]].values()) if t not in order]
+            at += 1
+        number = {q: i for i, q in enumerate(order)}
+        found = [{s: (number[self._find(t)], n) for s, (t, n) in self.next[q].items()} for q in order]
+        self.ends, self.next = [self.ends[q] for q in order], found
+        self._root = list(range(len(order)))
+
+    def _shortest(self) -> float:
+        """The length of the shortest run with any likelihood: what is shorter is no candidate."""
+        reached, length = {0}, 0
+        seen = set()
+        while reached - seen:
+            if any(self.ends[q] for q in reached):
+                return max(1, length)
+            seen |= reached
+            reached = {to for q in reached for to, _ in self.next[q].values()}
+            length += 1
+        return inf
+
+    def score(self, run: str) -> float:
+        """Log of the likelihood of the whole run, over that of it as an ordinary run; minus infinity where no path leads."""
         at, total = 0, 0.0
-        for symbol in credential.translate(_CLASSES):
+        for symbol in run.translate(_CLASSES):
             to, n = self.next[at].get(symbol, (0, 0))
             if not n:
                 return -inf
@@ -166,44 +254,84 @@ class Automaton:
             at = to
         if not self.ends[at]:
             return -inf
-        return (total + log(self.ends[at] / self._total(at))) / (len(credential) + 1)
+        return total + log(self.ends[at] / self._total(at)) - self.ordinary.score(run)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        found = {(kind, value) for text in column(batch, "text") for kind, _, _, value in base_spans(text)}
-        rows = [(k, v, xxhash.xxh3_64_intdigest(v.encode()) >> 1) for k, v in found if len(v) <= LONGEST]
-        cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-        arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["kind", "value", "h"])
+    def digest(value: str) -> int:
+        return xxhash.xxh3_64_intdigest(value.encode()) >> 1
 
-
-def infer_formats(docs: DataFrame, labelled: int = LABELLED) -> dict[str, Automaton]:
-    """An automaton for each base kind, from at most `labelled` distinct credentials of it."""
+    plain: dict[str, int] = {}
+    for batch in pieces(batches):
+        found = set()
+        for text in column(batch, "text"):
+            base = base_spans(text)
+            found |= {(kind, value, digest(value)) for kind, _, _, value in base if len(value) <= LONGEST}
+            at = 0
+            for start, end in [*((s, e) for _, s, e, _ in base), (len(text or ""),) * 2]:
+                fresh = {v for v in _RUN.findall(text or "", at, max(at, start)) if v not in plain}
+                plain |= {v: digest(v) for v in fresh if len(v) <= LONGEST}
+                at = max(at, end)
+        if len(plain) > 8 * ORDINARY:
+            plain = dict(sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY])
+        yield _rows(found)
+    yield _rows({("", v, h) for v, h in sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY]})
+
+
+def _rows(found: set[tuple[str, str, int]]) -> pa.RecordBatch:
+    cols = list(zip(*found, strict=True)) if found else [(), (), ()]
+    arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "value", "h"])
+
+
+def infer_formats(docs: DataFrame, labelled: int = LABELLED, ordinary: int = ORDINARY) -> dict[str, Automaton]:
+    """An automaton for each base kind, from at most `labelled` distinct credentials of it and `ordinary` other runs."""
     scratch = Scratch(docs.sparkSession, "secrets")
     values = narrow(docs, "text").mapInArrow(_labelled, "kind string, value string, h bigint")
     values = scratch.save(values.distinct(), "labelled")
-    out = {}
+
+    def some(kind: str, most: int) -> list[str]:
+        return [r.value for r in values.where(F.col("kind") == kind).orderBy("h", "value").limit(most).collect()]
+
+    plain = some("", ordinary)
+    model, out = Ordinary(plain), {}
     for kind in KINDS[:3]:
-        some = values.where(F.col("kind") == kind).orderBy("h", "value").limit(labelled).collect()
-        if some:
-            out[kind] = Automaton([r.value for r in some])
+        if found := some(kind, labelled):
+            out[kind] = Automaton(found, model)
     scratch.drop(values)
     return out
 
 
-def secret_spans(text: str | None, formats: dict[str, Automaton]) -> list[tuple[str, int, int, float | None]]:
-    """All spans of a text: base ones, and candidates outside them that a format explains."""
+class _Best(dict):
+    """By how much a run passes the threshold of the format that explains it best; emptied when it is full."""
+
+    def __init__(self, formats: dict[str, Automaton]):
+        super().__init__()
+        self.formats = formats
+
+    def __missing__(self, run: str) -> float:
+        if len(self) >= KEPT:
+            self.clear()
+        best = max((f.score(run) - f.threshold for f in self.formats.values()), default=-inf)
+        if len(run) <= LONGEST:
+            self[run] = best
+        return best
+
+
+def secret_spans(text: str | None, formats: dict[str, Automaton] | _Best) -> list[tuple[str, int, int, float | None]]:
+    """All spans of a text: base ones, and candidates not covered by one that a format explains."""
+    best = formats if isinstance(formats, _Best) else _Best(formats)
     base = base_spans(text)
     spans: list[tuple[str, int, int, float | None]] = [(k, s, e, None) for k, s, e, _ in base]
+    least = min((f.least for f in best.formats.values()), default=inf)
     done = 0
-    for start, value in candidates(text, min((f.least for f in formats.values()), default=inf)):
+    for start, value in candidates(text, least) if least < inf else ():
         end = start + len(value)
-        if start < done or any(s < end and start < e for _, s, e, _ in base):
+        if start < done:
             continue
-        best = max((f.score(value) - f.threshold for f in formats.values()), default=-inf)
-        if best >= 0:
-            spans.append(("format", start, end, best))
+        above = best[value]
+        if above >= 0 and not any(s <= start and end <= e for _, s, e, _ in base):
+            spans.append(("format", start, end, above))
             done = end
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -227,16 +355,17 @@ def scan_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None, k
     """One row per row of docs: (doc_id, spans array<struct<kind, start, end, score>>, redacted_text, *keep).
 
     Positions are code points, ends exclusive. The score, for inferred formats only, is how far the
-    mean log-likelihood a symbol lies above the kind's threshold. A null text is empty and stays null
+    log-likelihood ratio of the whole candidate lies above the kind's threshold. A null text is empty and stays null
     in redacted_text; repeated rows are scanned each; other columns than those to keep are ignored.
     """
     model = infer_formats(docs) if formats is None else formats
     names = ["doc_id", "spans", "redacted_text", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(model)
         for batch in pieces(batches):
             texts = column(batch, "text")
-            found = [secret_spans(t, model) for t in texts]
+            found = [secret_spans(t, best) for t in texts]
             spans = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in f] for f in found]
             clean = [redacted(t, f) if f else t for t, f in zip(texts, found, strict=True)]
             arrays = [batch.column(0), pa.array(spans, _SPANS), pa.array(clean, pa.string()), *batch.columns[2:]]

@@ -1,4 +1,3 @@
-import json
 import random
 import re
 import zlib
@@ -155,7 +154,7 @@ def test_recall_of_the_default_probes(spark):
     for r in N.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(found[q] & set(v)) / 5 for q, v in want.items()])
-    assert recall >= 0.93
+    assert recall >= 0.95
 
 
 def brute_components(rows, n, percent):
@@ -283,6 +282,7 @@ def test_inferred_formats_find_bare_credentials(table):
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(18)) for _ in range(160)]
     rows = [(i, f"text password={h} more words here") for i, h in enumerate(hexes[:150])]
     rows += [(200, f"bare {hexes[155]} in text"), (201, "ordinary words and 1234567890123456 or internationalisation2"), (202, None), (203, "")]
+    rows += [(204 + i, prose(i, 60)) for i in range(20)]
     got = {r.doc_id: r for r in S.scan_secrets(table(rows)).collect()}
     assert [s.kind for s in got[200].spans] == ["format"] and got[200].redacted_text == "bare [secret] in text"
     assert got[201].spans == [] and got[202].redacted_text is None and got[0].redacted_text == "text [secret] more words here"
@@ -292,12 +292,5 @@ def test_inferred_formats_find_bare_credentials(table):
     assert S.scan_secrets(table([])).collect() == []
 
 
-def test_automata_merge_states():
-    words = ["a1b2c3d4"[: rng] * 2 for rng in (2, 4, 6, 8)] * 20
-    automaton = S.Automaton(words)
-    assert len(automaton.next) < 20 and automaton.score("a1a1") > automaton.score("ZZ")
-    assert json.dumps(automaton.ends)
-
-
 def test_redaction_of_nested_spans():
     assert S.redacted("0123456789", [("assign", 2, 8, None), ("hex", 4, 6, None), ("hex", 7, 9, None)]) == "01[secret]9"
