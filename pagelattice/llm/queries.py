@@ -50,8 +50,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(documents(spark, sf_dir), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Besides the digest: whether anything was removed, and what remains (a character cut in two becomes U+FFFD)."""
+    found = remove_repeats(documents(spark, sf_dir), length=400, with_kept=True)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("removed"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A string of `length` bytes that occurs twice has the same smallest k-gram hash at the same place (its
 anchor), so only strings with equal anchors have to be compared. Starts that share an anchor form a
 run; equal runs repeat as a whole. Different runs of one anchor go into blocks of bounded size, whose
-suffixes are sorted: with ties in text order, the previous and next smaller positions of a suffix are
-its neighbours, and one that shares `length` bytes is its earlier match. An anchor with very many
+suffixes are sorted: the longest previous factor of a place is what it shares with the nearest smaller
+places before and after it in suffix order, and one of `length` bytes is an earlier match. An anchor with very many
 different runs is not gathered: bands of its starts meet by 128-bit hashes of what all strings of a band
 share and of what they cover, and only bands that share the one but not the other are cut finer.
 """
@@ -66,11 +66,39 @@ def _anchor_runs(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]
     return first + shift, last + shift, at + shift, grams[at], run
 
 
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it whose (distinct) value is smaller; -1 where there is none."""
+    to = np.arange(-1, len(values) - 1)
+    todo = np.flatnonzero(to >= 0)
+    while len(todo):
+        # What lies between a place and its pointer is larger than it, so a larger place's pointer can be taken over.
+        todo = todo[values[to[todo]] > values[todo]]
+        to[todo] = to[to[todo]]
+        todo = todo[to[todo] >= 0]
+    return to
+
+
+def longest_previous(order: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factors, up to `length` and 0 below it, of the places in suffix order.
+
+    The factor of a place is the longer of those that it shares with the previous and the next smaller place
+    in suffix order; rank is the rank of each place's first `length` bytes.
+    """
+    n, found = len(order), np.zeros(len(order), np.int32)
+    before, after = smaller_before(order), n - 1 - smaller_before(order[::-1])[::-1]
+    for other in (before, after):
+        there = np.flatnonzero((other >= 0) & (other < n))
+        there = there[rank[order[there]] == rank[order[other[there]]]]
+        found[there] = length
+    return found
+
+
 def matched_starts(segments: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each segment, per start of `length` bytes: is the string elsewhere too, and is it earlier.
 
-    Ranks of prefixes of 8, 24, 72, ... bytes by sorting, up to the rank of the whole length: the suffix
-    order, with ties in text order.
+    Ranks of prefixes of 8, 24, 72, ... bytes by sorting, up to the rank of the whole length, give the suffix
+    order. A string with a longest previous factor of its own length is an earlier one's copy; the same in the
+    text read backwards, from the last place on, tells those that come again.
     """
     text = np.frombuffer(b"".join(segments) + bytes(8), np.uint8).astype(np.uint64)
     n = len(text) - 8
@@ -98,11 +126,11 @@ def matched_starts(segments: list[bytes], length: int) -> list[tuple[np.ndarray,
         depth += by
     starts = np.concatenate([np.arange(e - len(s), e - length + 1) for s, e in zip(segments, ends, strict=True)])
     order = starts[np.argsort(rank[starts], kind="stable")]
-    tie = rank[order][1:] == rank[order][:-1]
-    earlier, other = np.zeros(n, bool), np.zeros(n, bool)
-    earlier[order[1:]] = tie  # the neighbour before it in suffix order is the previous smaller position
-    other[order[1:]] = tie
-    other[order[:-1]] |= tie
+    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
+    earlier[order] = longest_previous(order, rank, length) > 0
+    mirrored = n - 1 - order
+    later[order] = longest_previous(mirrored, rank[::-1], length) > 0
+    other = earlier | later
     return [
         (other[e - len(s) : e - length + 1], earlier[e - len(s) : e - length + 1])
         for s, e in zip(segments, ends, strict=True)
