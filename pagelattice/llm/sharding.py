@@ -10,7 +10,10 @@ the version that it opened.
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,9 @@ FAN_IN = 4
 RATIO = 4
 #: Sizes below this are one tier.
 SMALLEST = 1 << 20
+#: Seconds after which a shard that a newer version has dropped may be deleted, and attempts at a commit.
+GRACE = 7 * 24 * 3600
+ATTEMPTS = 50
 
 
 class CommitConflict(RuntimeError):
@@ -85,12 +91,27 @@ class ShardStore:
             raise CommitConflict(f"version {version} exists") from error
         return version
 
+    def _publish(self, change: Callable[[dict[str, int]], dict[str, int] | None], schema: str, what: str) -> int | None:
+        """Commit change(shards) on top of the newest version, again where another writer was faster; None if it gives None."""
+        for attempt in range(ATTEMPTS):
+            base = self.manifest()
+            shards = change(base["shards"])
+            if shards is None:
+                return None
+            try:
+                return self._commit(base, schema, shards, what)
+            except CommitConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+                time.sleep(random.uniform(0, 0.05 * min(attempt + 1, 20)))
+        return None
+
     def append(self, df: DataFrame) -> int:
         """Add a batch as new shards, one a partition. An empty batch commits a version without new shards."""
-        base = self.manifest()
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        return self._commit(base, df.schema.json(), base["shards"] | self._sizes(folder), "append")
+        fresh = self._sizes(folder)
+        return self._publish(lambda shards: shards | fresh, df.schema.json(), "append")
 
     def tier(self, size: int) -> int:
         tier, top = 0, SMALLEST
@@ -114,8 +135,15 @@ class ShardStore:
             files = max(1, min(len(run) // 2, round(sum(run.values()) / self.target)))
             folder = f"shards/{uuid.uuid4().hex}"
             self._files(base["schema"], run).coalesce(files).write.parquet(f"{self.root}/{folder}")
-            left = {n: s for n, s in base["shards"].items() if n not in run}
-            self._commit(base, base["schema"], left | self._sizes(folder), f"compact tier {full[0]}")
+            merged = self._sizes(folder)
+
+            def swapped(shards: dict[str, int]) -> dict[str, int] | None:
+                if not run.keys() <= shards.keys():
+                    return None  # another writer has merged some of them
+                return {n: s for n, s in shards.items() if n not in run} | merged
+
+            if self._publish(swapped, base["schema"], f"compact tier {full[0]}") is None:
+                self._fs().delete(self._path(folder), True)
 
     def _files(self, schema: str, names: dict[str, int]) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -134,18 +162,21 @@ class ShardStore:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(found["schema"])))
         return self._files(found["schema"], found["shards"])
 
-    def vacuum(self) -> int:
-        """Delete shards that the newest manifest does not name; older versions end with this."""
-        named = set(self.manifest()["shards"])
-        fs, gone = self._fs(), 0
-        if not fs.exists(self._path("shards")):
-            return 0
-        for folder in fs.listStatus(self._path("shards")):
-            name = f"shards/{folder.getPath().getName()}"
-            for file in self._sizes(name):
-                if file not in named:
-                    gone += int(fs.delete(self._path(file), False))
-        return gone
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete shards that a version has dropped at least grace seconds ago; how many.
+
+        Only what a manifest once named goes, so shards that another writer has written but not yet committed
+        stay. A reader keeps the version that it opened for the time of grace after the next one.
+        """
+        fs, newest, named, dropped = self._fs(), self.latest(), set(), {}
+        now = time.time()
+        for version in range(1, newest + 1):
+            shards = set(self.manifest(version)["shards"])
+            at = fs.getFileStatus(self._path(f"manifests/v{version:08d}.json")).getModificationTime() / 1000
+            dropped |= dict.fromkeys(named - shards, at)
+            named = shards
+        old = [name for name, at in dropped.items() if name not in named and now - at >= grace]
+        return sum(int(fs.delete(self._path(name), False)) for name in old)
 
 
 def sharded(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES) -> ShardStore:
@@ -158,5 +189,6 @@ def sharded(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET
     store = ShardStore(spark, root or f"{scratch_root(spark)}/pagelattice/shards-{uuid.uuid4().hex}", target_bytes)
     store.append(docs)
     store.compact()
-    store.vacuum()
+    # Nobody else can have opened a store in a new folder of its own.
+    store.vacuum(GRACE if root else 0)
     return store
