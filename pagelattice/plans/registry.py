@@ -34,7 +34,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-r6 = lambda c: F.round(c, 6)
+def r6(c: F.Column) -> F.Column:
+    """Six places, halves away from zero of the scaled double; F.round takes halves of the printed decimal."""
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+
+
 area = AREA.format
 meet = MEET.format
 
@@ -371,21 +375,29 @@ _WORDS_ONLY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS_ONLY.format('text')} AS t FROM documents), b AS (SELECT item_id, {_WORDS_ONLY.format('text')} AS t FROM benchmark)
     SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) WHERE b.t <> ''""")
 def content_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark phrases contained in documents: only pairs that share a run of six words are looked at.
+    """Benchmark phrases contained in documents: only pairs that share a run of words are looked at.
 
-    Phrases are matched as character strings, so their words inside (not at the ends) are whole words.
+    Phrases are matched as character strings, so their words inside (not at the ends) are whole words: the
+    first six of them at most are the key. Phrases without words inside are compared with every document.
     """
     b = table(spark, sf_dir, "benchmark").select("item_id", T.words_only(F.col("text")).alias("phrase")).where("phrase <> ''")
     d = table(spark, sf_dir, "documents").select("doc_id", T.words_only(F.col("text")).alias("body"))
     w = F.split("phrase", " ")
-    short = b.where(F.size(w) < 8)
-    inner = b.where(F.size(w) >= 8).withColumn("key", _runs_of(F.slice(w, 2, 6), 6)[0])
-    v = F.split("body", " ")
-    grams = d.where(F.size(v) >= 6).withColumn("keys", _runs_of(v, 6))
-    met = grams.select("doc_id", "body", F.explode("keys").alias("key")).join(inner, "key")
-    few = d.join(short, F.contains("body", "phrase"))
-    both = met.select("item_id", "doc_id", "body", "phrase").unionByName(few.select("item_id", "doc_id", "body", "phrase"))
-    return both.where(F.contains("body", "phrase")).select("item_id", "doc_id")
+    b = b.withColumn("n", F.least(F.lit(6), F.size(w) - 2))
+    short = d.join(b.where("n < 1"), F.contains("body", "phrase")).select("item_id", "doc_id")
+    found = [short]
+    for n in sorted(r.n for r in b.where("n >= 1").select("n").distinct().collect()):  # six values at most
+        inner = b.where(F.col("n") == n).withColumn("key", _runs_of(F.slice(w, 2, n), n)[0])
+        v = F.split("body", " ")
+        keys = d.where(F.size(v) >= n).select("doc_id", F.explode(_runs_of(v, n)).alias("key"))
+        # Only hashes and ids travel; the texts of the few pairs that meet come back afterwards.
+        met = keys.join(inner.select("key", "item_id"), "key").select("item_id", "doc_id").distinct()
+        whole = met.join(inner.select("item_id", "phrase").distinct(), "item_id").join(d, "doc_id")
+        found.append(whole.where(F.contains("body", "phrase")).select("item_id", "doc_id"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(r"""SELECT doc_id, CAST(len(n) AS INT) AS n_numbers, array_to_string(n, ',') AS numbers FROM (SELECT doc_id,
@@ -405,15 +417,15 @@ def phrase_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(c).alias(f"{n}_md5") for n, c in forms.items()])
 
 
-_LINES = """t AS (SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS n, hash_key FROM (SELECT *, substring(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 40) AS hash_key FROM documents))"""
+_LINES = """t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n, hash_key FROM (SELECT *, substring(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 40) AS hash_key FROM documents))"""
 
 
 @query(f"""WITH {_LINES} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(CASE WHEN a.n = '' OR b.n = '' THEN 0 WHEN a.n = b.n THEN 1 WHEN contains(a.n, b.n) OR contains(b.n, a.n)
     THEN least(length(a.n), length(b.n)) / greatest(length(a.n), length(b.n), 1) ELSE len(list_intersect(list_distinct(string_split(a.n, ' ')), list_distinct(string_split(b.n, ' '))))
     / greatest(len(list_distinct(string_split(a.n, ' '))), len(list_distinct(string_split(b.n, ' '))), 1) END, 6) AS similarity FROM t a JOIN t b ON a.hash_key = b.hash_key AND a.doc_id < b.doc_id""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the opening lines (200 characters are the line) of documents with equal first 40 normalised ones."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("line"), F.substring(T.words_only(F.col("text")), 1, 40).alias("key"))
+    """Similarity of the whole texts of documents whose first 40 normalised characters are equal (the reference's own blocking key)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"), F.substring(T.words_only(F.col("text")), 1, 40).alias("key"))
     met = d.alias("a").join(d.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     return met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), r6(T.line_similarity(F.col("a.line"), F.col("b.line"))).alias("similarity"))
 
@@ -488,11 +500,11 @@ def icon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_icon_key(table(spark, sf_dir, "part"), value).select("p_partkey", "icon_key")
 
 
-@query("""WITH l AS (SELECT conv_id AS page_id, turn AS seq, substring(text, 1, 60) AS text FROM conversations), f AS (SELECT page_id, seq, arg_max(fix, ord) AS fix, arg_max(role, ord) AS role FROM (
+@query("""WITH l AS (SELECT conv_id AS page_id, turn AS seq, text FROM conversations), f AS (SELECT page_id, seq, arg_max(fix, ord) AS fix, arg_max(role, ord) AS role FROM (
     SELECT page_id, seq, 0 AS ord, 'discarded' AS fix, 'label' AS role FROM l WHERE seq % 2 = 0 UNION ALL SELECT page_id, seq, 1, CASE WHEN seq % 4 = 0 THEN text || ' x' ELSE repeat(text, 3) END, CASE WHEN seq % 4 = 0 THEN 'title' ELSE 'odd' END FROM l WHERE seq % 2 = 0) GROUP BY page_id, seq)
     SELECT l.page_id, l.seq, f.role IS NOT NULL AS corrected, CASE WHEN f.role IS NULL THEN NULL WHEN f.role IN ('title', 'subtitle', 'body', 'label') THEN f.role ELSE 'body' END AS role FROM l LEFT JOIN f USING (page_id, seq)""")
 def line_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.substring("text", 1, 60).alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), "text")
     even = c.where("seq % 2 = 0")
     first = even.select("page_id", F.col("seq").alias("id"), F.lit(0).alias("ord"), F.lit("discarded").alias("text"), F.lit("label").alias("role"))
     last = even.select(
@@ -515,7 +527,14 @@ def _loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("run_id", F.col("seq").alias("iteration"), (F.col("o_totalprice") / 500000).alias("score"), (F.col("o_totalprice") > 450000).alias("passed"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_totalprice / 500000 AS score, o_totalprice > 450000 AS ok FROM orders),
+    r AS (SELECT run_id, 1 AS n, score AS best, 1 AS best_at, 0 AS idle, ok AS best_ok, CASE WHEN ok THEN 'quality-gates-passed' ELSE '' END AS why FROM x WHERE pos = 1
+        UNION ALL SELECT run_id, n, CASE WHEN up THEN score ELSE best END, CASE WHEN up THEN n ELSE best_at END, idle, CASE WHEN up THEN ok ELSE best_ok END,
+            CASE WHEN ok THEN 'quality-gates-passed' WHEN idle >= 2 THEN 'stagnated' WHEN n >= 10 THEN 'iteration-limit' ELSE '' END
+        FROM (SELECT r.run_id, r.n + 1 AS n, r.best, r.best_at, r.best_ok, x.score, x.ok, x.score > r.best + 0.0005::DOUBLE AS up, CASE WHEN x.score > r.best + 0.0005::DOUBLE THEN 0 ELSE r.idle + 1 END AS idle
+            FROM r JOIN x ON x.run_id = r.run_id AND x.pos = r.n + 1 WHERE r.why = ''))
+    SELECT run_id, round(best, 6) AS best, best_at AS best_iteration, n AS iterations, CASE why WHEN '' THEN 'iteration-limit' ELSE why END AS stop_reason, best_ok AS passed
+    FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1""")
 def loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.replayed_loop(_loop(spark, sf_dir)).select("run_id", r6(F.col("best_score")).alias("best"), "best_iteration", "iterations", "stop_reason", "passed")
 
@@ -541,20 +560,20 @@ def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", filters.safe_url(u).alias("safe"), file_name(F.col("url")).alias("name"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, trim(text) AS t, regexp_replace(trim(text), '\s', '', 'g') AS c, 40 + turn * 7 % 60 AS conf FROM (SELECT conv_id, turn, substring(text, 1, CAST(1 + turn % 5 AS INT)) AS text FROM conversations))
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(text) AS t, regexp_replace(trim(text), '\s', '', 'g') AS c, 40 + turn * 7 % 60 AS conf FROM conversations)
     SELECT conv_id, turn FROM t WHERE c <> '' AND conf >= 48 AND NOT regexp_matches(c, '^[^A-Za-z0-9]+$') AND NOT (conf < 72 AND regexp_matches(t, '[©®#~{}\\]')) AND NOT (regexp_matches(c, '^\d{4,}$') AND NOT regexp_matches(c, '^(19|20)\d{2}$'))
     AND NOT (regexp_matches(c, '^\d$') AND conf < 80) AND NOT (length(c) <= 3 AND NOT regexp_matches(c, '^\d{1,3}$') AND NOT regexp_matches(c, '(?i)^(AI|IoT|API|CRM|CBS|CSB|SMB|VAS)$'))""")
 def plausible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("line", F.expr("substring(text, 1, int(1 + turn % 5))"))
-    ok = filters.plausible(F.col("line"), 40 + F.col("turn") * 7 % 60, G.box(F.lit(0), F.lit(0), F.lit(50), F.lit(50)))
+    c = table(spark, sf_dir, "conversations")
+    ok = filters.plausible(F.col("text"), 40 + F.col("turn") * 7 % 60, G.box(F.lit(0), F.lit(0), F.lit(50), F.lit(50)))
     return c.where(ok).select("conv_id", "turn")
 
 
-@query("""SELECT event_type AS call_id, md5(string_agg(substring(props, 2, 3), '' ORDER BY event_id)) AS content_md5, arg_max(user_id, event_id) AS last_user FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS call_id, md5(string_agg(props, '' ORDER BY event_id)) AS content_md5, arg_max(user_id, event_id) AS last_user FROM events GROUP BY event_type""")
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import streamed_answer
 
-    delta = F.struct(F.struct(F.expr("substring(props, 2, 3)").alias("content")).alias("delta"))
+    delta = F.struct(F.struct(F.col("props").alias("content")).alias("delta"))
     body = F.to_json(F.struct(F.array(delta).alias("choices"), F.col("user_id").cast("string").alias("model")))
     out = streamed_answer(table(spark, sf_dir, "events").select(F.col("event_type").alias("call_id"), F.col("event_id").alias("seq"), body.alias("data")))
     return out.select("call_id", F.md5("content").alias("content_md5"), F.col("model").cast("bigint").alias("last_user"))
@@ -576,7 +595,17 @@ def draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing.draw_list(c, lines, pages).select("page_id", "draw_no", "pass", "kind", "seq", r6(F.col("frame.w")).alias("w"))
 
 
-@query()
+_KINDS = "[" + ", ".join(f"'{k}'" for k in (*L.OBJECT_KINDS, "text")) + "]"
+
+
+@query(f"""WITH {BOXES}, o AS (SELECT page_id, seq, ({_KINDS})[CAST(seq % 7 AS INT) + 1] AS k, score / 100000 AS confidence, x1 - x0 AS w, y1 - y0 AS h,
+        greatest(0, least(999, floor(x0 * 9 + 0.5))) AS l, greatest(0, least(999, floor(y0 * 9 + 0.5))) AS t FROM boxes),
+    g AS (SELECT *, greatest(1, least(1000 - l, floor(w + 0.5))) AS gw, greatest(1, least(1000 - t, floor(h + 0.5))) AS gh FROM o)
+    SELECT page_id, seq, CASE k WHEN 'icon' THEN 'semanticIcon' WHEN 'image' THEN 'picture' ELSE k END AS type,
+        CAST(greatest(0, floor(l * 200 / 1000 + 0.5)) AS DOUBLE) AS x0, CAST(greatest(0, floor(t * 200 / 1000 + 0.5)) AS DOUBLE) AS y0,
+        CAST(least(200, floor((l + gw) * 200 / 1000 + 0.5)) AS DOUBLE) AS x1, CAST(least(200, floor((t + gh) * 200 / 1000 + 0.5)) AS DOUBLE) AS y1,
+        CASE k WHEN 'icon' THEN '00FF00' ELSE 'FFFFFF' END AS "colorHex", CASE k WHEN 'icon' THEN ({_ICONS})['growth'] END AS "iconKey", CAST(least(20, seq) AS INT) AS layer
+    FROM g WHERE k <> 'text' AND confidence >= 0.55""")
 def vision_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model objects sanitised and turned into component rows."""
     b, x = boxes(spark, sf_dir), F.col("bbox")

@@ -26,7 +26,7 @@ def plain(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return v
     if isinstance(v, (int, float)):
-        return None if math.isnan(v) else round(float(v), 5) + 0.0
+        return None if math.isnan(v) else round(float(v), 9) + 0.0
     return str(v)
 
 
