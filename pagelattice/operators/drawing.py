@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.layout import forbidden_fallback, native_shape
+from .filters import skipped_picture
 from .joins import NATIVE_TYPES, drop_icons_on_text
 
 
@@ -22,8 +23,8 @@ def draw_list(components: DataFrame, lines: DataFrame, pages: DataFrame) -> Data
     shapes = c.where(F.col("type").isin(*NATIVE_TYPES)).select(
         "page_id", F.lit(1).alias("pass"), F.col("type").alias("kind"), "seq", native_shape(row, F.col("inches")).alias("s")
     ).select("page_id", "pass", "kind", "seq", F.struct("s.x", "s.y", "s.w", "s.h").alias("frame"))
-    forbidden = forbidden_fallback(F.col("width"), F.col("height"), F.lit(1.0), F.col("image"))
-    pictures = c.where((F.col("type") == "picture") & ~(forbidden & (F.col("areaRatio") > 0.6)))
+    skipped = skipped_picture(F.col("width"), F.col("height"), F.lit(1.0), F.col("image"), F.col("areaRatio"))
+    pictures = c.where((F.col("type") == "picture") & ~skipped)
     filled = forbidden_fallback(F.col("width"), F.col("height"), F.col("fillRatio"), F.col("image"))
     free = drop_icons_on_text(c.where("type = 'icon'"), lines)
     icons = free.unionByName(c.where("type = 'semanticIcon'")).where(~filled)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -112,6 +112,17 @@ def not_worth_a_retry(message: Column) -> Column:
     return message.rlike("(?i)(401|403|api key|authentication|unauthorized|forbidden|余额|欠费|无权限)")
 
 
+def lines_for_model(lines: DataFrame, most: int = 300) -> DataFrame:
+    """The first lines of each page (page_id, seq), which are what a model is asked about."""
+    return lines.withColumn("id", F.row_number().over(Window.partitionBy("page_id").orderBy("seq")) - 1).where(F.col("id") < most)
+
+
+def upload_size(files: DataFrame) -> DataFrame:
+    """How many files (size in bytes) and their size in MB, with one place."""
+    total = F.coalesce(F.sum(F.col("size") / 1024 / 1024), F.lit(0.0))
+    return files.agg(F.count("*").alias("files"), F.round(total, 1).alias("megabytes"))
+
+
 def first_files(files: DataFrame, most: int = 50) -> DataFrame:
     """The first images by natural name order."""
     from ..functions.text import natural_key

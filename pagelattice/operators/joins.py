@@ -174,6 +174,11 @@ def corrected_lines(lines: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.withColumn("text", safe).drop("fix")
 
 
+def correction_counts(lines: DataFrame) -> DataFrame:
+    """How many lines of a page (as corrected_lines gives them) have another text than was recognised."""
+    return lines.groupBy("page_id").agg(F.count_if(F.coalesce("textEnhanced", F.lit(False))).alias("correctionCount"))
+
+
 def resolved_media(pictures: DataFrame, relations: DataFrame) -> DataFrame:
     """(page_id, seq, vector) of pictures (page_id, seq, ids array) by relations (page_id, id, ord, target), the last wins."""
     last = relations.groupBy("page_id", "id").agg(F.max_by("target", "ord").alias("target")).where("target <> ''")

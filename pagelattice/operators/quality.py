@@ -114,6 +114,15 @@ def deck_summary(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def evaluated_deck(items: DataFrame, inputs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Page scores and the summary of decks in one go: items (page_id, *keys), inputs of page_quality where a page has them.
+
+    A page without inputs (it was not rendered or analysed) fails with zero scores and counts in its deck.
+    """
+    scored = failed_page(items, page_quality(inputs).drop(*keys)).join(items.select("page_id", *keys), "page_id")
+    return scored, deck_summary(scored, keys)
+
+
 def component_summary(components: DataFrame) -> DataFrame:
     """Counts by type of a page's components and the largest share of a fragment."""
     kinds = ("line", "ellipse", "roundRect", "outlineRect", "rect", "icon", "semanticIcon", "picture", "fragment")

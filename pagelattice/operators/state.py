@@ -80,6 +80,33 @@ def with_quality(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     return touched(sessions, reports).join(last, "session_id", "left")
 
 
+def found(sessions: DataFrame, session_id: str, now: Column, ttl: Column) -> DataFrame:
+    """The live session of that id: one row or none."""
+    return alive(sessions, now, ttl).where(F.col("session_id") == session_id)
+
+
+def required(sessions: DataFrame, session_id: str, now: Column, ttl: Column) -> DataFrame:
+    """The live session of that id; raises, when it is read, where there is none."""
+    one = found(sessions, session_id, now, ttl).agg(F.max_by(F.struct("*"), "updated_at").alias("s"))
+    gone = F.raise_error(F.lit(f"session expired: {session_id}"))
+    return one.select(F.when(F.col("s").isNull(), gone.cast(one.schema["s"].dataType)).otherwise(F.col("s")).alias("s")).select("s.*")
+
+
+def deleted(sessions: DataFrame, pages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and pages without those of the ids (session_id)."""
+    return sessions.join(ids, "session_id", "left_anti"), pages.join(ids, "session_id", "left_anti")
+
+
+def settled(results: DataFrame) -> DataFrame:
+    """Results (page_id, seq, value, error) with the status of each: fulfilled with its value, or rejected with a reason."""
+    bad = F.col("error").isNotNull()
+    state = F.struct(
+        F.when(bad, "rejected").otherwise("fulfilled").alias("status"), F.when(~bad, F.col("value")).alias("value"),
+        F.col("error").alias("reason"),
+    )
+    return results.withColumn("settled", state).drop("value", "error")
+
+
 def oldest(sessions: DataFrame) -> DataFrame:
     """The session that a full cache gives up first."""
     return sessions.orderBy("updated_at", "session_id").limit(1)

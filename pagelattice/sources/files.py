@@ -129,6 +129,17 @@ def write_report(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").json(path)
 
 
+def html_report(rows: DataFrame, title: str) -> DataFrame:
+    """(html) of all rows as one table, in the order of their first column: a report of a page a row, not of a corpus."""
+    cells = lambda tag, values: F.concat(*[F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>")) for v in values])
+    line = cells("td", [T.escaped_html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])
+    head = cells("th", [T.escaped_html(F.lit(c)) for c in rows.columns])
+    body = rows.select(F.struct(F.col(rows.columns[0]).alias("at"), F.concat(F.lit("<tr>"), line, F.lit("</tr>")).alias("row")).alias("r"))
+    body = body.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), "").alias("rows"))
+    begin = F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>'), T.escaped_html(F.lit(title)), F.lit("</title><table><tr>"), head, F.lit("</tr>"))
+    return body.select(F.concat(begin, "rows", F.lit("</table>")).alias("html"))
+
+
 def report_header(summary: DataFrame) -> DataFrame:
     """A compact report as base64 of JSON, for a header."""
     return summary.select(F.regexp_replace(F.base64(F.encode(F.to_json(F.struct("*")), "UTF-8")), r"\s", "").alias("report"))
