@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds between two collections of the driver's garbage, at least.
+SWEEP = 2.0
+_LAST_SWEEP = [0.0]
 _LOCAL_ROOTS: dict[str, str] = {}
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -27,7 +33,9 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         if spark.sparkContext.master.startswith("local["):
-            _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="pagelattice-")
+            folder = tempfile.mkdtemp(prefix="pagelattice-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL_ROOTS[app] = f"file://{folder}"
         else:
             _LOCAL_ROOTS[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return _LOCAL_ROOTS[app]
@@ -48,8 +56,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pagelattice_path = path  # noqa: SLF001
-        # Shuffle files of the finished stages go once the driver's JVM has dropped their plans.
-        self.spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        # Shuffle files of the finished stages go once the driver's JVM has dropped their plans; without a word
+        # they stay until its heap is full, which may take longer than the whole job.
+        if time.monotonic() - _LAST_SWEEP[0] > SWEEP:
+            self.spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+            _LAST_SWEEP[0] = time.monotonic()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -174,6 +185,17 @@ def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
     return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
+def parity_sketch(items: np.ndarray) -> np.ndarray:
+    """Per bucket of hashes whether an odd number falls in it, 64 buckets a word: about a bit for each item.
+
+    Two sketches differ in no more bits than the sets in items, and halving one (its halves combined by
+    exclusive or) gives the sketch of that length.
+    """
+    words = max(4, 1 << (max(1, len(items)) - 1).bit_length() >> 6)
+    odd = np.bincount((items % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def long_lists(arrays: list[np.ndarray]) -> pa.Array:
     """uint64 arrays as list<int64>, without a Python object for each element."""
     offsets = np.zeros(len(arrays) + 1, np.int32)

@@ -1,9 +1,11 @@
-"""Linking similar sets: hub-and-spoke candidates, overlaps summed over fragments, components.
+"""Linking similar sets: candidates by common keys, overlaps summed over fragments, components.
 
-A pair of sets may link only where both carry a common key. Instead of all pairs below a key, every
-member is first held against one hub (the smallest id); only members that still lie in different
-components meet each other afterwards. So a group of thousands of near copies costs one comparison a
-member, and no link between different components is lost.
+A pair of sets may link only where both carry a common key. Members of a key that few carry meet each
+other; below a key that many carry, every member is first held against one hub (the smallest id), and
+only members that still lie in different components meet afterwards. So a group of thousands of near
+copies costs one comparison a member, and no link between different components is lost. Keys with the
+same members count once, and parity sketches, which bound the difference of two sets from below, rule
+most pairs out before any set is read.
 """
 
 from __future__ import annotations
@@ -17,8 +19,14 @@ from pyspark.sql import functions as F
 from ._common import Scratch, is_empty
 
 
-#: Slices of the keys; more of them need less disk and read the keys more often.
+#: Slices of delta elements; more of them need less disk and read the deltas more often.
 SLICES = 4
+#: Members of a key up to which all of them meet; those of other keys meet a hub first.
+FEW = 8
+#: All members below an element meet once they make at most so many pairs for each of them; before that, in at most
+#: so many turns, those in several components are held against one of them, another one each time.
+PAIRS = 4
+TURNS = 5
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -37,7 +45,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         hook = scratch.save(hook, "hook")
         while True:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            jumped = hook.join(up, "root").select(
+            once = hook.join(up, "root").select("node", F.col("higher").alias("root"))
+            # A second step at once, by the old pointers; what it doesn't move has come to a root.
+            jumped = once.join(up, "root").select(
                 "node", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")
             )
             jumped = scratch.save(jumped, "jump")
@@ -67,8 +77,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def extended(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels(node, component), as components gives them, after more links(a, b): only those between components count."""
+    at = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    links = links.join(at, "a", "left").join(at.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
+    links = links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    links = scratch.save(links.distinct(), "between")
+    if is_empty(links):
+        return labels
+    step = components(links, scratch).withColumnRenamed("component", "root")
+    both = labels.join(step.withColumnRenamed("node", "component"), "component", "full")
+    # A component that no label names is a node that had no link so far.
+    return scratch.save(
+        both.select(F.coalesce("node", "component").alias("node"), F.coalesce("root", "component").alias("component")), "labels"
+    )
+
+
+def odd_bits(a: str, b: str) -> F.Column:
+    """The bits in which two parity sketches differ; the longer one is folded to the length of the shorter."""
+
+    def folded(x: str, y: str) -> F.Column:
+        half = F.size(y)
+        halves = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > half, halves).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    bits = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b)), bits).otherwise(0)
+
+
 def linked(
-    keyed: DataFrame,
+    slices: list[DataFrame],
     meta: DataFrame,
     fragments: Callable[[DataFrame], DataFrame],
     percent: int,
@@ -77,56 +116,65 @@ def linked(
 ) -> DataFrame:
     """(node, component) over links of at least percent % Jaccard among ids that share a key.
 
-    keyed: (id, keys array<bigint>, spare array<bigint>), where a spare only meets keys; meta: (id unique, n, sig binary); fragments(ids) gives
-    (id, part, items array<bigint>) of those ids' sets, cut at the same places of the global order. spent is
-    the table behind keyed, if it may go once the keys are read.
+    slices: the keys, in parts that share no key, each (id, key, chosen), where what is not chosen only meets
+    what is; meta: (id unique, n, sig binary, sketch array<bigint>), with sketches as parity_sketch makes them;
+    fragments(ids) gives (id, part, items array<bigint>) of those ids' sets, cut at the same places of the
+    global order. spent is the table behind the slices, if it may go once they are read.
 
-    1. Spokes: each member of a key is held against the key's hub; the elements that only one of the two
-       has are counted fragment by fragment and summed per pair.
-    2. Keys whose members now lie in several components are open. Their members are held against one
+    1. Members of a key that at most FEW carry are compared with each other, those of other keys with the
+       key's hub: the elements that only one of the two has are counted fragment by fragment and summed
+       per pair.
+    2. Larger keys whose members now lie in several components are open. Their members are held against one
        reference h, the root of the key's largest component, and the elements kept in which they differ
        (the delta). Those that link to h are linked with it. For members a and b, A ^ B is the
        difference of their deltas; if b does not link to h, a and b can only link by sharing more than
        half of a's delta. So they must share one of the rarer elements of it: those meet, by element,
-       first with one hub of the element, then with what is left in other components.
+       with hubs of the element while that is a crowd, then with what is left in other components.
     """
-    # Only keys make a hub; a spare meets the keys that equal it, not other spares.
-    keys = keyed.select("id", F.explode("keys").alias("key"), F.lit(True).alias("chosen"))
-    exploded = keys.unionByName(keyed.select("id", F.explode("spare").alias("key"), F.lit(False).alias("chosen")))
     copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = scratch.save(copies.where("rep < last").select("sig", "rep"), "copies")
     same = meta.where("n > 0").join(copies, "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     same = scratch.save(same, "same")
     # A hub is the smallest id of its key, so it is never a copy of a smaller one; copies need no spoke.
     # Keys are dealt with in slices, so that only a slice of them is on the exchanges' disks at a time.
-    slices = []
-    for i in range(SLICES):
-        part = exploded.where(F.pmod("key", F.lit(SLICES)) == i)
+    met = []
+    for part in slices:
         hubs = part.groupBy("key").agg(
             F.min(F.when(F.col("chosen"), F.col("id"))).alias("hub"), F.min("id").alias("first"), F.max("id").alias("last")
         )
         hubs = scratch.save(hubs.where("hub is not null and first < last").select("key", "hub"), "hubs")
-        met = part.join(hubs, "key").where("id <> hub").join(same.select(F.col("a").alias("id")), "id", "left_anti")
-        slices.append(scratch.save(met.select("key", "hub", "id"), "members"))
+        some = part.join(hubs, "key").where("id <> hub").join(same.select(F.col("a").alias("id")), "id", "left_anti")
+        met.append(scratch.save(some.select("key", "hub", "id").distinct(), "met"))
         scratch.drop(hubs)
-    members = reduce(DataFrame.unionByName, slices)
     if spent is not None:
         scratch.drop(spent)
-    spokes = scratch.save(members.select("hub", "id").distinct(), "spokes")
-    if is_empty(spokes):
+    members = reduce(DataFrame.unionByName, met)
+    alike = members.groupBy("key", "hub").agg(
+        F.count("*").alias("many"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    alike = alike.groupBy("hub", "many", "x", "y").agg(F.min("key").alias("key"))
+    members = scratch.save(members.join(alike.select("key", "many"), "key"), "members")
+    scratch.drop(*met)
+    if is_empty(members):
         return components(same, scratch)
-    ids = spokes.select("id").union(spokes.select(F.col("hub").alias("id"))).distinct()
-    cut = scratch.save(fragments(ids), "fragments")
-    sizes = scratch.save(cut.groupBy("id").agg(F.sum(F.size("items")).alias("n")), "sizes")
+    spokes = members.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    few = members.where(F.col("many") < FEW)
+    within = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
 
     def named(df: DataFrame, *names: str) -> DataFrame:
         return df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
 
-    def differences(pairs: DataFrame) -> DataFrame:
+    sizes = meta.select("id", "n")
+
+    def cuts(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+        return scratch.save(fragments(ids), "fragments")
+
+    def differences(pairs: DataFrame, cut: DataFrame) -> DataFrame:
         """pairs(a, b) by fragment: the elements that one side lacks."""
         met = pairs.join(named(cut, "a", "part", "left"), "a").join(named(cut, "b", "part", "right"), ["b", "part"])
         delta = F.array_union(F.array_except("left", "right"), F.array_except("right", "left"))
-        return met.select("a", "b", "part", delta.alias("delta"))
+        return scratch.save(met.select("a", "b", "part", delta.alias("delta")), "differences")
 
     def measured(deltas: DataFrame) -> DataFrame:
         """(a, b, na, nb, d, good): summed over fragments, and whether the pair links."""
@@ -134,26 +182,32 @@ def linked(
         total = total.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
         return total.withColumn("good", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("na") + F.col("nb")))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    known = meta.select("id", "n", "sketch")
+
+    def verified(pairs: DataFrame, name: str, cut: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
+        pairs = pairs.join(named(known, "a", "na", "sa"), "a").join(named(known, "b", "nb", "sb"), "b")
         fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = scratch.save(pairs.where(fit).select("a", "b"), "pairs")
-        good = scratch.save(measured(differences(pairs)).where("good").select("a", "b"), name)
-        scratch.drop(pairs)
+        near = (100 + percent) * odd_bits("sa", "sb") <= (100 - percent) * (F.col("na") + F.col("nb"))
+        pairs = scratch.save(pairs.where(fit).where(near).select("a", "b"), "pairs")
+        if is_empty(pairs):
+            return pairs
+        mine = cuts(pairs) if cut is None else cut
+        apart = differences(pairs, mine)
+        good = scratch.save(measured(apart).where("good").select("a", "b"), name)
+        scratch.drop(pairs, apart, *([mine] if cut is None else []))
         return good
 
-    tested = measured(differences(named(spokes, "b", "a")))
-    links = scratch.save(same.unionByName(tested.where("good").select("a", "b")), "links")
-    labels = components(links, scratch)
+    labels = components(same.unionByName(verified(spokes.unionByName(within), "first")), scratch)
 
     def placed(df: DataFrame, node: str, name: str) -> DataFrame:
         at = df.join(named(labels, node, "at"), node, "left")
         return at.withColumn(name, F.coalesce("at", node)).drop("at")
 
-    group = members.select("key", "id").unionByName(members.select("key", F.col("hub").alias("id")).distinct())
+    large = members.where(F.col("many") >= FEW)
+    group = large.select("key", "id").unionByName(large.select("key", F.col("hub").alias("id")).distinct())
     group = scratch.save(placed(group, "id", "component"), "groups")
-    scratch.drop(*slices, spokes)
+    scratch.drop(members)
     held = group.groupBy("key", "component").agg(F.count("*").alias("many"))
     held = held.groupBy("key").agg(
         F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("several")
@@ -164,18 +218,19 @@ def linked(
     scratch.drop(group)
     if is_empty(open_spokes):
         return labels
-    deltas = scratch.save(differences(open_spokes), "deltas")
+    cut = cuts(open_spokes)
+    deltas = differences(open_spokes, cut)
     open_spokes = scratch.save(measured(deltas), "tested")
     elements = deltas.select("b", "a", F.explode("delta").alias("element"))
-    slices = []
+    parts = []
     for i in range(SLICES):
         part = elements.where(F.pmod("element", F.lit(SLICES)) == i)
         seen = part.groupBy("b", "element").agg(F.count("*").alias("seen")).where("seen > 1")
         seen = scratch.save(seen, "seen")
-        slices.append(scratch.save(part.join(seen, ["b", "element"]), "shared"))
+        parts.append(scratch.save(part.join(seen, ["b", "element"]), "shared"))
         scratch.drop(seen)
     scratch.drop(deltas)
-    shared = reduce(DataFrame.unionByName, slices)
+    shared = reduce(DataFrame.unionByName, parts)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
     # frequent out, and what nobody else has, and a common element still remains.
     ranked = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
@@ -193,31 +248,40 @@ def linked(
     # left: how many elements of the delta come from this one on, in the order from rare to frequent.
     ranked = ranked.select("hub", "id", F.col("na").alias("n"), "d", "good", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("keep")).alias("counts"))
     ranked = scratch.save(ranked, "ranked")
-    scratch.drop(*slices)
+    scratch.drop(*parts)
     # Those that link to the reference hang on it from here on; only the others are still to be met.
-    near = open_spokes.where("good").select("a", "b")
-    if not is_empty(near):
-        links = scratch.save(links.unionByName(near), "links")
-        labels = components(links, scratch)
+    labels = extended(labels, open_spokes.where("good").select("a", "b"), scratch)
     rare = ranked.where("counts").select("hub", "element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("la"))
     lone = ranked.where("not good").select("hub", "element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("lb"))
     # Only elements that some a counts on and some b has.
     lone = scratch.save(lone.join(rare.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "lone")
-    second = lone.groupBy("hub", "element").agg(F.min("b").alias("b"))
-    rare = scratch.save(rare.join(second.select("hub", "element"), ["hub", "element"], "left_semi"), "rare")
+    rare = scratch.save(rare.join(lone.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "rare")
     scratch.drop(ranked)
-    group = rare.select("hub", "element", "a").unionByName(lone.select("hub", "element", F.col("b").alias("a")))
-    spoke = placed(placed(group.join(second, ["hub", "element"]).select("a", "b").distinct(), "a", "ca"), "b", "cb")
-    found = verified(spoke.where("ca <> cb"), "second")
-    links = scratch.save(links.unionByName(found), "links")
-    labels = components(links, scratch)
+    both = rare.select("hub", "element", "a", F.lit(1).alias("r")).unionByName(
+        lone.select("hub", "element", F.col("b").alias("a"), F.lit(0).alias("r"))
+    )
+    for turn in range(TURNS):
+        # Below an element, all meet one of them, until what is left in several components makes few pairs.
+        met = scratch.save(placed(both, "a", "ca"), "turn")
+        groups = met.groupBy("hub", "element").agg(
+            F.min("ca").alias("lo"), F.max("ca").alias("hi"), F.sum("r").alias("r"), F.count("*").alias("many"),
+            F.min_by("a", F.struct(F.col("r"), F.xxhash64("a", F.lit(turn)))).alias("b"),
+        )
+        groups = scratch.save(groups.where("lo < hi"), "crowds")
+        load = groups.agg(F.sum(F.col("r") * (F.col("many") - F.col("r"))), F.sum("many")).first()
+        both = scratch.save(met.drop("ca").join(groups.select("hub", "element"), ["hub", "element"], "left_semi"), "left")
+        if not load[0] or load[0] <= PAIRS * load[1]:
+            break
+        spoke = placed(placed(both.join(groups, ["hub", "element"]).select("a", "b").distinct(), "a", "ca"), "b", "cb")
+        labels = extended(labels, verified(spoke.where("ca <> cb"), "turned", cut), scratch)
+        scratch.drop(met, groups)
     # A linked pair's first common element leaves room for all elements that they must share.
     most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     room = 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - most
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    one = scratch.save(placed(rare, "a", "ca"), "one").join(scratch.save(placed(lone, "b", "cb"), "two"), ["hub", "element"])
+    still = both.select("hub", "element").distinct()
+    one = placed(rare.join(still, ["hub", "element"], "left_semi"), "a", "ca")
+    two = placed(lone.join(still, ["hub", "element"], "left_semi"), "b", "cb")
+    one = scratch.save(one, "one").join(scratch.save(two, "two"), ["hub", "element"])
     one = one.where((F.col("ca") != F.col("cb")) & room & fit & (F.abs(F.col("da") - F.col("db")) <= most))
-    rest = verified(one.select("a", "b"), "rest")
-    if is_empty(rest):
-        return labels
-    return components(links.unionByName(rest), scratch)
+    return extended(labels, verified(one.select("a", "b"), "rest", cut), scratch)

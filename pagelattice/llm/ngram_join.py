@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, column, long_lists, mix, narrow, pieces, shingle_set, word_ids
+from ._common import Scratch, column, long_lists, mix, narrow, parity_sketch, pieces, shingle_set, word_ids
 from .links import linked
 
 #: Sets are grouped by size into classes of this ratio; each class has its own number of fragments.
@@ -31,6 +31,8 @@ ORDERS = 4
 SUMMARY = 16_384
 FREQUENT = 131_072
 SEEN = 16
+#: Slices of the keys; more of them need less disk and read the keys more often.
+SLICES = 4
 #: Fragments in which overlaps of a candidate pair are counted.
 PARTS = 4
 
@@ -145,10 +147,11 @@ def _keyed(n: int, percent: int, frequent: Broadcast):
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    long_lists([parity_sketch(s) for s in sets]),
                     long_lists([k for k, _ in keys]),
                     long_lists([k for _, k in keys]),
                 ],
-                ["id", "n", "sig", "keys", "spare"],
+                ["id", "n", "sig", "sketch", "keys", "spare"],
             )
 
     return run
@@ -189,11 +192,12 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     base = narrow(docs, "doc_id", "text")
     frequent = spark.sparkContext.broadcast(frequent_ngrams(base, n))
     keyed = base.mapInArrow(
-        _keyed(n, percent, frequent), "id bigint, n bigint, sig binary, keys array<bigint>, spare array<bigint>"
+        _keyed(n, percent, frequent),
+        "id bigint, n bigint, sig binary, sketch array<bigint>, keys array<bigint>, spare array<bigint>",
     )
     keyed = scratch.save(keyed, "keyed")
-    meta = keyed.where("id is not null").groupBy("id").agg(F.min(F.struct("sig", "n")).alias("m"))
-    meta = scratch.save(meta.select("id", "m.sig", "m.n"), "meta")
+    meta = keyed.where("id is not null").groupBy("id").agg(F.min(F.struct("sig", "n", "sketch")).alias("m"))
+    meta = scratch.save(meta.select("id", "m.sig", "m.n", "m.sketch"), "meta")
 
     def fragments(ids: DataFrame) -> DataFrame:
         wanted = meta.join(ids, "id").select("id", "sig")
@@ -203,7 +207,11 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
 
     nulls = scratch.save(keyed.where("id is null").select("id", "n"), "nulls")
     keys = keyed.where("id is not null").select("id", "keys", "spare")
-    labels = linked(keys, meta, fragments, percent, scratch, spent=keyed)
+    keys = keys.select("id", F.explode("keys").alias("key"), F.lit(True).alias("chosen")).unionByName(
+        keys.select("id", F.explode("spare").alias("key"), F.lit(False).alias("chosen"))
+    )
+    slices = [keys.where(F.pmod("key", F.lit(SLICES)) == i) for i in range(SLICES)]
+    labels = linked(slices, meta, fragments, percent, scratch, spent=keyed)
     nulls = nulls.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )

@@ -1,17 +1,83 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pagelattice.llm._common import Scratch
-from pagelattice.llm.links import linked
+from pagelattice.llm import links as L
+from pagelattice.llm._common import Scratch, parity_sketch
 
 U, A, H = range(100, 200), range(0, 100), range(1, 101)
 
 
-@pytest.mark.parametrize("sets", [{1: U, 2: A, 3: H}, {1: U, 2: A, 3: H, 4: range(2, 102), 5: range(300, 400)}])
-def test_a_link_to_the_reference_counts(spark, sets):
-    """All share one key, whose hub (the smallest id) links to nothing."""
-    keyed = spark.createDataFrame([(i, [7], []) for i in sets], "id bigint, keys array<bigint>, spare array<bigint>")
-    meta = spark.createDataFrame([(i, len(s), bytearray([i])) for i, s in sets.items()], "id bigint, n bigint, sig binary")
+def linked(spark, sets, percent, keys=None):
+    """Components of sets that all share one key (or have their own), as {id: smallest reachable id}."""
+    keyed = [(i, k, True) for i in sets for k in (keys[i] if keys else [7])]
+    keyed = spark.createDataFrame(keyed, "id bigint, key bigint, chosen boolean")
+    rows = [(i, len(s), bytearray(b"%d" % i), parity_sketch(np.array(list(s), np.uint64)).view(np.int64).tolist()) for i, s in sets.items()]
+    meta = spark.createDataFrame(rows, "id bigint, n bigint, sig binary, sketch array<bigint>")
     items = spark.createDataFrame([(i, 0, list(s)) for i, s in sets.items()], "id bigint, part int, items array<bigint>")
-    got = linked(keyed, meta, lambda ids: items.join(ids, "id"), 90, Scratch(spark, "test")).collect()
+    slices = [keyed.where(F.col("key") % 2 == i) for i in range(2)]
+    got = L.linked(slices, meta, lambda ids: items.join(ids, "id"), percent, Scratch(spark, "test")).collect()
     root = {r.node: r.component for r in got}
-    assert {i: root.get(i, i) for i in sets} == {i: 2 if i in (2, 3, 4) else i for i in sets}
+    return {i: root.get(i, i) for i in sets}
+
+
+def brute(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            a, b = set(sets[i]), set(sets[j])
+            if i < j and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+SETS = [{1: U, 2: A, 3: H}, {1: U, 2: A, 3: H, 4: range(2, 102), 5: range(300, 400)}]
+
+
+@pytest.mark.parametrize(("sets", "few"), [(SETS[0], 1), (SETS[1], 1), (SETS[1], 8)])
+def test_a_link_to_the_reference_counts(spark, monkeypatch, sets, few):
+    """All share one key, whose hub (the smallest id) links to nothing."""
+    monkeypatch.setattr(L, "FEW", few)
+    assert linked(spark, sets, 90) == {i: 2 if i in (2, 3, 4) else i for i in sets}
+
+
+def test_a_crowd_below_one_key(spark, monkeypatch):
+    """Families of near copies of several centres, and loners, below one key; by turns of hubs, then by pairs."""
+    rng = random.Random(1)
+    monkeypatch.setattr(L, "PAIRS", 0.5)
+    monkeypatch.setattr(L, "TURNS", 2)
+    sets = {}
+    for _ in range(6):
+        centre = rng.sample(range(3000), 40)
+        for _ in range(12):
+            some = set(centre)
+            for _ in range(rng.randint(0, 6)):
+                some.discard(rng.choice(centre))
+                some.add(rng.randrange(3000))
+            sets[len(sets) + 1] = sorted(some)
+    want = brute(sets, 80)
+    assert linked(spark, sets, 80) == want
+    assert len(set(want.values())) > 6 and sum(want[i] != i for i in want) > 20
+
+
+def test_sketches_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (1, 5, 200, 500, 3000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for gone, more in ((0, 0), (1, 2), (n // 3, n // 4), (n, n // 8)):
+            b = np.concatenate((a[gone:], rng.integers(0, 2**63, more).astype(np.uint64)))
+            rows.append([parity_sketch(x).view(np.int64).tolist() for x in (a, b)] + [gone + more])
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, d int")
+    got = [(r.bits, r.d) for r in df.select(L.odd_bits("a", "b").alias("bits"), "d").collect()]
+    assert all(bits <= d for bits, d in got) and all(bits == 0 for bits, d in got if d == 0)
+    assert sum(bits > d / 3 for bits, d in got) > len(got) / 2

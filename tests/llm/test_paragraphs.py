@@ -1,20 +1,40 @@
 import random
+import re
 
 from pagelattice.llm import paragraphs as P
 import numpy as np
 
-from pagelattice.llm._common import shingle_set, word_ids
+from pagelattice.llm._common import ngram_hashes, shingle_set, word_ids
 
 
-def brute(rows, percent=80, n=5, least=20):
-    found = []
+def cut(words, window=P.WINDOW):
+    """First words of paragraphs, by the definition: a pair's hash is below all within `window` places."""
+    ids = word_ids(" ".join(words))
+    pair = [None, *ngram_hashes(ids, 2).tolist()]
+    heads = [0] if words else []
+    for i in range(window + 1, len(words) - window):
+        if all(pair[i] < pair[j] for j in range(i - window, i + window + 1) if j != i):
+            heads.append(i)
+    return heads
+
+
+def brute(rows, percent=80, n=5, least=P.PASSAGE):
+    found, texts = [], []
     for doc, text in rows:
-        if doc is None or text is None:
+        if text is None:
+            continue
+        places = [m.start() for m in re.finditer(r"[^ \t-\r]+", text)]
+        words = text.lower().split()
+        if not words:
             continue
-        for nth, (a, b) in enumerate(P.lines(text)):
-            words = text[a:b].lower().split()
-            if len(words) >= least:
-                found.append((doc, nth, a, b, {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}))
+        heads = cut(words)
+        starts = [0, *(places[h] for h in heads[1:])]
+        for nth, (h, e) in enumerate(zip(heads, [*heads[1:], len(words)], strict=True)):
+            w = words[h:e]
+            end = starts[nth + 1] if nth + 1 < len(heads) else len(text)
+            grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
+            found.append((doc, nth, starts[nth], end, grams, len(w), len(texts)))
+        texts.append(text)
     root = list(range(len(found)))
 
     def find(i):
@@ -30,12 +50,25 @@ def brute(rows, percent=80, n=5, least=20):
     groups = {}
     for i in range(len(found)):
         groups.setdefault(find(i), []).append(found[i])
+    shared = {id(g): group for group in groups.values() if len(group) > 1 for g in group}
     out = []
-    for group in groups.values():
-        if len(group) > 1:
-            first = min(g[:2] for g in group)
-            out += [(*g[:4], *first, g[:2] != first) for g in group]
-    return sorted(out)
+    for k, g in enumerate(found):
+        if id(g) not in shared:
+            continue
+        total = 0
+        for step in (-1, 1):
+            at = k if step == 1 else k - 1
+            while 0 <= at < len(found) and found[at][6] == g[6] and id(found[at]) in shared:
+                total += found[at][5]
+                at += step
+        if total >= least:
+            first = min((x[0] is not None, x[0] or 0, x[1], x[6]) for x in shared[id(g)])
+            out.append((*g[:4], first[1] if first[0] else None, first[2], (g[0] is not None, g[0] or 0, g[1], g[6]) != first))
+    return out
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:4]))
 
 
 def corpus():
@@ -55,19 +88,38 @@ def corpus():
         kept = [text(rng.randint(1, 40)), rng.choice(passages), text(30)]
         if i % 3 == 0:
             kept[1] = near(kept[1], rng.randint(0, 3))
-        rows.append((i, "\n".join(kept)))
+        rows.append((i, ("\n" if i % 2 else " ").join(kept)))
+    rows += [(90, "\u00e9t\u00e9 \U0001f600 " + passages[1].replace(" ", "\n")), (4, passages[2])]
     return rows
 
 
 def test_against_brute_force(table):
     rows = corpus()
-    got = sorted(tuple(r) for r in P.repeated_paragraphs(table(rows)).collect())
-    assert got == brute(rows)
-    assert any(r[6] for r in got)
+    for least in (P.PASSAGE, 1):
+        got = by_id(tuple(r) for r in P.repeated_paragraphs(table(rows), least_words=least).collect())
+        assert got == by_id(brute(rows, least=least))
+        assert any(r[6] for r in got)
+
+
+def test_a_passage_within_a_line_is_found(table):
+    """50 words in the middle of long lines, and broken into short ones."""
+    rng = random.Random(8)
+    some = lambda n: ["x%d" % rng.randrange(10**6) for _ in range(n)]
+    found = 0
+    passages = [some(50) for _ in range(60)]
+    rows = []
+    for k, p in enumerate(passages):
+        rows.append((2 * k, " ".join([*some(70), *p, *some(40)])))
+        rows.append((2 * k + 1, "\n".join([*some(30), " ".join(p[:20]), " ".join(p[20:]), *some(90)])))
+    got = {r.doc_id for r in P.repeated_paragraphs(table(rows), least_words=1).collect()}
+    found = sum(2 * k in got and 2 * k + 1 in got for k in range(60))
+    assert found >= 58
+    assert P.repeated_paragraphs(table([(i, " ".join(some(300))) for i in range(40)])).collect() == []
 
 
 def test_empty_and_unrepeated(table):
     assert P.repeated_paragraphs(table([])).collect() == []
+    assert P.repeated_paragraphs(table([(1, None), (2, ""), (3, " \n")])).collect() == []
     assert P.repeated_paragraphs(table([(1, "one two three " * 30), (2, "other words entirely " * 30)])).collect() == []
 
 
