@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from math import inf, log, sqrt
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, column, narrow, pieces
+from ._common import Scratch, column, narrow, pieces, utf8, word_hashes
 
 KINDS = ("assign", "access", "hex", "format")
 _WORDS = ("password", "passwd", "secret", "token", "api")
@@ -28,6 +29,7 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_WORD = re.compile(rb"[^ \t-\r]+")
 #: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes), and
 #: the longest of them; candidates of any length are scored.
 LABELLED = 400
@@ -65,6 +67,12 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+@cache
+def _runs(least: int) -> re.Pattern:
+    """Whole runs of credential characters, of least ones at least."""
+    return re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{least},}}")
+
+
 def candidates(text: str | None, least: int) -> list[tuple[int, str]]:
     """Runs of credential characters of least characters or more, in order, the longer first.
 
@@ -73,13 +81,12 @@ def candidates(text: str | None, least: int) -> list[tuple[int, str]]:
     if not text:
         return []
     found = set()
-    for m in _RUN.finditer(text):
+    for m in _runs(least).finditer(text):
         run, at = m[0], m.start()
-        if len(run) >= least:
-            found.add((at, run))
-            if "." in run:
-                found.add((at + len(run) - len(run.lstrip(".")), run.strip(".")))
-                found |= {(at + x.start(), x[0]) for x in re.finditer(r"[^.]+", run)}
+        found.add((at, run))
+        if "." in run:
+            found.add((at + len(run) - len(run.lstrip(".")), run.strip(".")))
+            found |= {(at + x.start(), x[0]) for x in re.finditer(r"[^.]+", run)}
     return sorted((x for x in found if len(x[1]) >= least), key=lambda x: (x[0], -len(x[1])))
 
 
@@ -258,24 +265,29 @@ class Automaton:
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def digest(value: str) -> int:
-        return xxhash.xxh3_64_intdigest(value.encode()) >> 1
-
+    """Labelled credentials, and of the other words' runs the ORDINARY ones of the partition with the smallest hashes."""
     plain: dict[str, int] = {}
+    cut = np.uint64(2**64 - 1)
     for batch in pieces(batches):
-        found = set()
-        for text in column(batch, "text"):
-            base = base_spans(text)
-            found |= {(kind, value, digest(value)) for kind, _, _, value in base if len(value) <= LONGEST}
-            at = 0
-            for start, end in [*((s, e) for _, s, e, _ in base), (len(text or ""),) * 2]:
-                fresh = {v for v in _RUN.findall(text or "", at, max(at, start)) if v not in plain}
-                plain |= {v: digest(v) for v in fresh if len(v) <= LONGEST}
-                at = max(at, end)
-        if len(plain) > 8 * ORDINARY:
-            plain = dict(sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY])
-        yield _rows(found)
-    yield _rows({("", v, h) for v, h in sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY]})
+        texts = column(batch, "text")
+        found = {(kind, value) for text in texts for kind, _, _, value in base_spans(text) if len(value) <= LONGEST}
+        yield _rows({(kind, value, xxhash.xxh3_64_intdigest(value.encode()) >> 1) for kind, value in found})
+        labelled = {value for _, value in found}
+        data = b"\n".join(utf8(t) for t in texts)
+        hashes, starts = word_hashes(data)
+        low, first = np.unique(hashes[hashes < cut], return_index=True)
+        for h, at in zip(low.tolist(), starts[hashes < cut][first].tolist(), strict=True):
+            word = _WORD.match(data, at)[0].decode("utf-8", "replace")
+            if len(word) <= LONGEST and not base_spans(word):
+                plain |= {run: h >> 1 for run in _RUN.findall(word) if run not in labelled}
+        if len(plain) > 2 * ORDINARY:
+            plain = _smallest(plain)
+            cut = np.uint64(2 * max(plain.values()) + 1)
+    yield _rows({("", v, h) for v, h in _smallest(plain).items()})
+
+
+def _smallest(plain: dict[str, int]) -> dict[str, int]:
+    return dict(sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY])
 
 
 def _rows(found: set[tuple[str, str, int]]) -> pa.RecordBatch:
