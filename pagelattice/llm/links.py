@@ -221,13 +221,16 @@ def linked(
     cut = cuts(open_spokes)
     deltas = differences(open_spokes, cut)
     open_spokes = scratch.save(measured(deltas), "tested")
-    elements = deltas.select("b", "a", F.explode("delta").alias("element"))
+    # Of a linked pair that still counts, one side at least does not link to the reference: what no such side has
+    # cannot be common.
+    elements = deltas.join(open_spokes.select("a", "b", "good"), ["a", "b"])
+    elements = elements.select("b", "a", "good", F.explode("delta").alias("element"))
     parts = []
     for i in range(SLICES):
         part = elements.where(F.pmod("element", F.lit(SLICES)) == i)
-        seen = part.groupBy("b", "element").agg(F.count("*").alias("seen")).where("seen > 1")
-        seen = scratch.save(seen, "seen")
-        parts.append(scratch.save(part.join(seen, ["b", "element"]), "shared"))
+        seen = part.groupBy("b", "element").agg(F.count("*").alias("seen"), F.min("good").alias("linked"))
+        seen = scratch.save(seen.where("seen > 1 and not linked").select("b", "element", "seen"), "seen")
+        parts.append(scratch.save(part.drop("good").join(seen, ["b", "element"]), "shared"))
         scratch.drop(seen)
     scratch.drop(deltas)
     shared = reduce(DataFrame.unionByName, parts)
