@@ -16,7 +16,7 @@ from ..functions import geometry as G
 from ..functions import layout as L
 from ..functions import text as T
 from ..functions.numeric import calibrated, half_up, upper_median_agg
-from ..operators import drawing, filters, folds, joins, quality, state
+from ..operators import drawing, filters, folds, joins, quality, similarity, state
 from .tables import AREA, BOXES, MEET, SMALL_BOXES, boxes, image, slide, small_boxes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,9 +425,9 @@ _LINES = """t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+',
     / greatest(len(list_distinct(string_split(a.n, ' '))), len(list_distinct(string_split(b.n, ' '))), 1) END, 6) AS similarity FROM t a JOIN t b ON a.hash_key = b.hash_key AND a.doc_id < b.doc_id""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of the whole texts of documents whose first 40 normalised characters are equal (the reference's own blocking key)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"), F.substring(T.words_only(F.col("text")), 1, 40).alias("key"))
-    met = d.alias("a").join(d.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return met.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), r6(T.line_similarity(F.col("a.line"), F.col("b.line"))).alias("similarity"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), T.words_only(F.col("text")).alias("line"))
+    met = similarity.similar_pairs(d.withColumn("key", F.substring("line", 1, 40)))
+    return met.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "similarity")
 
 
 _GATES = """p AS (SELECT d.doc_id, d.source, d.lang, CASE WHEN l.toxic = 1 THEN 0.5 ELSE 1.0 END AS content, least(1, 0.9 + d.n_chars / 50000) AS layout, CASE WHEN l.quality = 1 THEN 0.99 ELSE 0.9 END AS looks,
