@@ -126,10 +126,13 @@ def linked(
        per pair.
     2. Larger keys whose members now lie in several components are open. Their members are held against one
        reference h, the root of the key's largest component, and the elements kept in which they differ
-       (the delta). Those that link to h are linked with it. For members a and b, A ^ B is the
-       difference of their deltas; if b does not link to h, a and b can only link by sharing more than
-       half of a's delta. So they must share one of the rarer elements of it: those meet, by element,
-       with hubs of the element while that is a crowd, then with what is left in other components.
+       (the delta). Those that link to h are linked with it. Members are near or far: a near one has
+       percent % of its elements in H, as all that link to h have. A far one, a, must share percent % of A
+       with whatever it links to, so more than H holds of it: the rest lies in A - H, and whoever links to
+       it has one of the rarer elements of that. For near members a and b, A ^ B is the difference of their
+       deltas; if b does not link to h, a and b can only link by sharing more than half of a's delta, and
+       so one of the rarer elements of it. Those meet, by element, with hubs of the element while that is
+       a crowd, then with what is left in other components. So elements of H are listed only for near members.
     """
     copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = scratch.save(copies.where("rep < last").select("sig", "rep"), "copies")
@@ -171,14 +174,14 @@ def linked(
         return scratch.save(fragments(ids), "fragments")
 
     def differences(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-        """pairs(a, b) by fragment: the elements that one side lacks."""
+        """pairs(a, b) by fragment: the elements that only a has (more) and that only b has (less)."""
         met = pairs.join(named(cut, "a", "part", "left"), "a").join(named(cut, "b", "part", "right"), ["b", "part"])
-        delta = F.array_union(F.array_except("left", "right"), F.array_except("right", "left"))
-        return scratch.save(met.select("a", "b", "part", delta.alias("delta")), "differences")
+        more, less = F.array_except("left", "right"), F.array_except("right", "left")
+        return scratch.save(met.select("a", "b", "part", more.alias("more"), less.alias("less")), "differences")
 
     def measured(deltas: DataFrame) -> DataFrame:
-        """(a, b, na, nb, d, good): summed over fragments, and whether the pair links."""
-        total = deltas.groupBy("a", "b").agg(F.sum(F.size("delta")).alias("d"))
+        """(a, b, na, nb, d, beyond, good): summed over fragments, beyond for a's alone, and whether the pair links."""
+        total = deltas.groupBy("a", "b").agg(F.sum(F.size("more") + F.size("less")).alias("d"), F.sum(F.size("more")).alias("beyond"))
         total = total.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
         return total.withColumn("good", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("na") + F.col("nb")))
 
@@ -220,23 +223,31 @@ def linked(
         return labels
     cut = cuts(open_spokes)
     deltas = differences(open_spokes, cut)
-    open_spokes = scratch.save(measured(deltas), "tested")
-    # Of a linked pair that still counts, one side at least does not link to the reference: what no such side has
-    # cannot be common.
-    elements = deltas.join(open_spokes.select("a", "b", "good"), ["a", "b"])
-    elements = elements.select("b", "a", "good", F.explode("delta").alias("element"))
+    far = 100 * (F.col("na") - F.col("beyond")) < percent * F.col("na")
+    open_spokes = scratch.save(measured(deltas).withColumn("far", far), "tested")
+    # By A - H whatever has a far side, by whole deltas the near ones among each other.
+    deltas_of = deltas.join(open_spokes.select("a", "b", "good", "far"), ["a", "b"])
+    elements = deltas_of.select("b", F.lit(True).alias("outer"), "a", "good", "far", F.explode("more").alias("element")).unionByName(
+        deltas_of.where("not far").select(
+            "b", F.lit(False).alias("outer"), "a", "good", "far", F.explode(F.concat("more", "less")).alias("element")
+        )
+    )
+    # Of a pair that still counts, one side at least is far, or, by whole deltas, does not link to the reference:
+    # what no such side has cannot be common.
+    within_key = ["b", "outer", "element"]
+    open_side = F.when(F.col("outer"), F.col("far")).otherwise(~F.col("good"))
     parts = []
     for i in range(SLICES):
         part = elements.where(F.pmod("element", F.lit(SLICES)) == i)
-        seen = part.groupBy("b", "element").agg(F.count("*").alias("seen"), F.min("good").alias("linked"))
-        seen = scratch.save(seen.where("seen > 1 and not linked").select("b", "element", "seen"), "seen")
-        parts.append(scratch.save(part.drop("good").join(seen, ["b", "element"]), "shared"))
+        seen = part.groupBy(*within_key).agg(F.count("*").alias("seen"), F.max(open_side).alias("open"))
+        seen = scratch.save(seen.where("seen > 1 and open").select(*within_key, "seen"), "seen")
+        parts.append(scratch.save(part.drop("good", "far").join(seen, within_key), "shared"))
         scratch.drop(seen)
     scratch.drop(deltas)
     shared = reduce(DataFrame.unionByName, parts)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
     # frequent out, and what nobody else has, and a common element still remains.
-    ranked = shared.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
+    ranked = shared.groupBy("b", "outer", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
     ranked = ranked.join(open_spokes, ["a", "b"])
     # And as d(A, B) <= m for the largest possible B, |b| >= |a| - m, and at least |a| - m elements are common.
     outside = F.floor(
@@ -244,47 +255,53 @@ def linked(
     )
     largest = F.floor((100 - percent) * (F.col("na") + F.floor(100 * F.col("na") / percent)) / (100 + percent))
     outside = F.greatest(outside, F.col("d") - largest - 1)
+    # Beyond H a far one shares J |A| elements less those of H at least.
+    outside = F.when(
+        F.col("outer"), F.ceil(percent * F.col("na") / 100) - (F.col("na") - F.col("beyond")) - 1
+    ).otherwise(outside)
     ranked = ranked.select(
-        F.col("b").alias("hub"), F.col("a").alias("id"), "na", "d", "good",
+        F.col("b").alias("hub"), "outer", F.col("a").alias("id"), "na", F.when(F.col("outer"), F.col("beyond")).otherwise(F.col("d")).alias("d"), "good", "far",
         (F.size("all") - outside).alias("keep"), F.size("all").alias("size"), F.posexplode("all").alias("at", "e"),
     )
-    # left: how many elements of the delta come from this one on, in the order from rare to frequent.
-    ranked = ranked.select("hub", "id", F.col("na").alias("n"), "d", "good", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"), (F.col("at") < F.col("keep")).alias("counts"))
+    # left: how many listed elements come from this one on, in the order from rare to frequent.
+    ranked = ranked.select(
+        "hub", "outer", "id", F.col("na").alias("n"), "d", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"),
+        ((F.col("at") < F.col("keep")) & (F.col("far") | ~F.col("outer"))).alias("counts"), (F.col("outer") | ~F.col("good")).alias("other"),
+    )
     ranked = scratch.save(ranked, "ranked")
     scratch.drop(*parts)
     # Those that link to the reference hang on it from here on; only the others are still to be met.
     labels = extended(labels, open_spokes.where("good").select("a", "b"), scratch)
-    rare = ranked.where("counts").select("hub", "element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("la"))
-    lone = ranked.where("not good").select("hub", "element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("lb"))
-    # Only elements that some a counts on and some b has.
-    lone = scratch.save(lone.join(rare.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "lone")
-    rare = scratch.save(rare.join(lone.select("hub", "element").distinct(), ["hub", "element"], "left_semi"), "rare")
-    scratch.drop(ranked)
-    both = rare.select("hub", "element", "a", F.lit(1).alias("r")).unionByName(
-        lone.select("hub", "element", F.col("b").alias("a"), F.lit(0).alias("r"))
+    # Only elements that some a counts on and some other b has.
+    key = ["hub", "outer", "element"]
+    common = ranked.groupBy(*key).agg(
+        F.max("counts").alias("counts"), F.max("other").alias("other"), F.min("id").alias("lo"), F.max("id").alias("hi")
     )
+    common = scratch.save(common.where("counts and other and lo < hi").select(*key), "common")
+    both = scratch.save(ranked.where("counts or other").join(common, key, "left_semi"), "both")
+    scratch.drop(ranked)
     for turn in range(TURNS):
         # Below an element, all meet one of them, until what is left in several components makes few pairs.
-        met = scratch.save(placed(both, "a", "ca"), "turn")
-        groups = met.groupBy("hub", "element").agg(
-            F.min("ca").alias("lo"), F.max("ca").alias("hi"), F.sum("r").alias("r"), F.count("*").alias("many"),
-            F.min_by("a", F.struct(F.col("r"), F.xxhash64("a", F.lit(turn)))).alias("b"),
+        met = scratch.save(placed(both, "id", "component"), "turn")
+        groups = met.groupBy(*key).agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("counts").alias("r"), F.count_if("other").alias("o"),
+            F.min_by("id", F.struct(~F.col("other"), F.xxhash64("id", F.lit(turn)))).alias("b"),
         )
-        groups = scratch.save(groups.where("lo < hi"), "crowds")
-        load = groups.agg(F.sum(F.col("r") * (F.col("many") - F.col("r"))), F.sum("many")).first()
-        both = scratch.save(met.drop("ca").join(groups.select("hub", "element"), ["hub", "element"], "left_semi"), "left")
+        groups = scratch.save(groups.where("lo < hi and r > 0 and o > 0"), "crowds")
+        load = groups.agg(F.sum(F.col("r") * F.col("o")), F.sum(F.col("r") + F.col("o"))).first()
+        both = scratch.save(met.drop("component").join(groups.select(*key), key, "left_semi"), "left")
         if not load[0] or load[0] <= PAIRS * load[1]:
             break
-        spoke = placed(placed(both.join(groups, ["hub", "element"]).select("a", "b").distinct(), "a", "ca"), "b", "cb")
+        spoke = placed(placed(both.join(groups, key).select(F.col("id").alias("a"), "b").distinct(), "a", "ca"), "b", "cb")
         labels = extended(labels, verified(spoke.where("ca <> cb"), "turned", cut), scratch)
         scratch.drop(met, groups)
     # A linked pair's first common element leaves room for all elements that they must share.
     most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     room = 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - most
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    still = both.select("hub", "element").distinct()
-    one = placed(rare.join(still, ["hub", "element"], "left_semi"), "a", "ca")
-    two = placed(lone.join(still, ["hub", "element"], "left_semi"), "b", "cb")
-    one = scratch.save(one, "one").join(scratch.save(two, "two"), ["hub", "element"])
-    one = one.where((F.col("ca") != F.col("cb")) & room & fit & (F.abs(F.col("da") - F.col("db")) <= most))
+    both = scratch.save(placed(both, "id", "component"), "last")
+    values = ["id", "n", "d", "left", "component"]
+    one = named(both.where("counts").select(*key, *values), *key, "a", "na", "da", "la", "ca")
+    two = named(both.where("other").select(*key, *values), *key, "b", "nb", "db", "lb", "cb")
+    one = one.join(two, key).where((F.col("ca") != F.col("cb")) & room & fit & (F.abs(F.col("da") - F.col("db")) <= most))
     return extended(labels, verified(one.select("a", "b"), "rest", cut), scratch)

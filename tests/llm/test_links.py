@@ -81,3 +81,34 @@ def test_sketches_never_exceed_the_difference(spark):
     got = [(r.bits, r.d) for r in df.select(L.odd_bits("a", "b").alias("bits"), "d").collect()]
     assert all(bits <= d for bits, d in got) and all(bits == 0 for bits, d in got if d == 0)
     assert sum(bits > d / 3 for bits, d in got) > len(got) / 2
+
+
+def test_near_and_far_members_of_a_key(spark, monkeypatch):
+    """Members with most, some and hardly any of a reference's elements, in families, below one key; and how many elements are listed."""
+    rng = random.Random(4)
+    monkeypatch.setattr(L, "PAIRS", 0.5)
+    listed, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        listed[name] = listed.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    sets, top = {}, 1000
+    for share in [100] * 8 + [0, 10, 30, 60, 78, 80, 82, 90] * 2:
+        centre = rng.sample(range(100), share) + list(range(top, top + 100 - share))
+        top += 100
+        for _ in range(4):
+            some = centre[rng.randint(0, 12) :] + list(range(top, top + rng.randint(0, 12)))
+            top += 12
+            sets[len(sets) + 1] = some
+    want = brute(sets, 80)
+    assert linked(spark, sets, 80) == want
+    assert len(set(want.values())) > 12 and sum(want[i] != i for i in want) > 40
+    listed.clear()
+    loners = {i: list(range(9)) + list(range(1000 * i, 1000 * i + 91)) for i in range(101, 161)}
+    crowd = {i: range(100) for i in range(1, 11)} | loners
+    assert linked(spark, crowd, 80) == {i: 1 if i <= 10 else i for i in crowd}
+    # Elements that only the reference has are not listed for those that lie far from it.
+    assert listed["open"] >= 60 and listed["shared"] <= len(crowd) and listed["ranked"] <= len(crowd)
