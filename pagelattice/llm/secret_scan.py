@@ -1,17 +1,20 @@
 """Operator 8: secret scans with formats learned by grammar inference.
 
-Base patterns label credentials. Per kind a prefix tree of labelled credentials (over character
-classes) is generalised by merging statistically compatible states into a probabilistic automaton:
-first states of one depth, which keeps lengths and prefixes, then states of different depths where
-enough credentials say so. Every further candidate is scored by its whole likelihood under the automata
-against that under a model of the corpus's ordinary runs of characters, and kept where that ratio is
-one of labelled credentials and not one of ordinary runs.
+Base patterns label credentials, and all of them are learned from. Per kind a prefix tree of some labelled
+credentials (over character classes) is generalised by merging statistically compatible states into a
+probabilistic automaton: first states of one depth, which keeps lengths and prefixes, then states of
+different depths where enough credentials say so. Whatever it does not accept of the kind's credentials
+gives the next automaton, and what is left in the end a chain of character classes; each has its chances
+counted over all credentials that it describes, and together they are a mixture. Every further candidate
+is scored by its whole likelihood under the mixtures against that under a model of the corpus's ordinary
+runs of characters, and kept where that ratio is one of labelled credentials and not one of ordinary runs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import cache
 from math import inf, log, sqrt
 
@@ -21,21 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, column, narrow, pieces, utf8, word_hashes
+from ._common import Scratch, column, is_empty, narrow, pieces, utf8
 
 KINDS = ("assign", "access", "hex", "format")
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-_WORD = re.compile(rb"[^ \t-\r]+")
-#: Labelled credentials of a kind from which its automaton is inferred (those with the smallest hashes), and
-#: the longest of them; candidates of any length are scored.
+#: Labelled credentials in a prefix tree (those with the smallest hashes), and the longest of them; further and longer
+#: ones are counted, and what no tree's automaton accepts is learned by the next tree or, after so many, by a chain.
 LABELLED = 400
 LONGEST = 512
-#: Distinct ordinary runs (outside base spans, those with the smallest hashes) from which their model is counted.
-ORDINARY = 4000
+TREES = 4
 #: Confidence of all compatibility tests of a state together; credentials that must pass through both of two states
 #: of one depth, or of different depths, for a test to have any power.
 ALPHA = 0.05
@@ -45,6 +45,8 @@ BELOW = 0.02
 ABOVE = 0.001
 #: Scores a worker keeps.
 KEPT = 1 << 18
+#: Width of the classes of scores in which a rank is looked for.
+STEP = 0.25
 
 _CLASSES = str.maketrans(
     {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}}
@@ -95,17 +97,22 @@ class Ordinary:
 
     SYMBOLS = "dhlU+/_.=-"
 
-    def __init__(self, samples: list[str]):
+    def __init__(self, samples: list[str], counts: np.ndarray | None = None):
         n = len(self.SYMBOLS) + 1
-        at = {c: i for i, c in enumerate(self.SYMBOLS)}
-        seen = np.ones((n, n))
-        for sample in samples:
-            codes = [n - 1, *(at[c] for c in sample.translate(_CLASSES)), n - 1]
-            np.add.at(seen, (codes[:-1], codes[1:]), 1)
+        seen = np.ones((n, n)) + (self.pairs(" ".join(samples)) if counts is None else counts)
         logs = np.log(seen / seen.sum(1, keepdims=True)).tolist()
         ends = [*self.SYMBOLS, ""]
         self.logs = {(a, b): logs[i][j] for i, a in enumerate(ends) for j, b in enumerate(ends)}
 
+    @classmethod
+    def pairs(cls, text: str) -> np.ndarray:
+        """How often each class follows each in the runs of a text, ends included."""
+        n = len(cls.SYMBOLS) + 1
+        codes = _CODES[np.frombuffer(b" " + utf8(text) + b" ", np.uint8)]
+        seen = np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
+        seen[-1, -1] = 0
+        return seen
+
     def score(self, run: str) -> float:
         word, total, before = run.translate(_CLASSES), 0.0, ""
         for symbol in word:
@@ -114,6 +121,10 @@ class Ordinary:
         return total + self.logs[before, ""]
 
 
+#: The number of each byte's class; what is not in runs has the last one.
+_CODES = np.array([(Ordinary.SYMBOLS.find(chr(b).translate(_CLASSES)) if b < 128 else -1) % (len(Ordinary.SYMBOLS) + 1) for b in range(256)])
+
+
 class Automaton:
     """A probabilistic automaton by state merging over a prefix tree of samples.
 
@@ -139,6 +150,35 @@ class Automaton:
         self.threshold = max(scores[int(BELOW * len(scores))], -log(ABOVE)) if scores else inf
         self.least = self._shortest()
 
+    @classmethod
+    def chain(cls, ordinary: Ordinary) -> Automaton:
+        """The automaton whose states are the last character class; it accepts all runs, and must be counted."""
+        out = cls([], ordinary)
+        step = {c: (i + 1, 0) for i, c in enumerate(Ordinary.SYMBOLS)}
+        out.next = [dict(step) for _ in range(len(step) + 1)]
+        out.ends = [1] * len(out.next)
+        return out
+
+    def path(self, run: str) -> list[tuple[int, str]] | None:
+        """The states and symbols that a run passes, with "" at its end; None where no path leads."""
+        at, out = 0, []
+        for symbol in run.translate(_CLASSES):
+            out.append((at, symbol))
+            at = self.next[at].get(symbol, (-1, 0))[0]
+            if at < 0:
+                return None
+        return [*out, (at, "")]
+
+    def accepts(self, run: str) -> bool:
+        way = self.path(run)
+        return way is not None and self.ends[way[-1][0]] > 0
+
+    def count(self, seen: dict[tuple[int, str], int]) -> None:
+        """Take these counts of states and symbols in the place of the samples'."""
+        self.ends = [seen.get((q, ""), 0) for q in range(len(self.next))]
+        self.next = [{c: (to, seen[q, c]) for c, (to, _) in step.items() if (q, c) in seen} for q, step in enumerate(self.next)]
+        self.least = self._shortest()
+
     def _add(self, word: str) -> None:
         at = 0
         for symbol in word:
@@ -264,60 +304,136 @@ class Automaton:
         return total + log(self.ends[at] / self._total(at)) - self.ordinary.score(run)
 
 
+class Mixture:
+    """What describes all labelled credentials of a kind: automata, each with the number of them that it stands for."""
+
+    def __init__(self, parts: list[tuple[int, Automaton]]):
+        total = sum(n for n, _ in parts)
+        self.parts = [(log(n / total), automaton) for n, automaton in parts]
+        self.threshold = inf
+        self.least = min(automaton.least for _, automaton in parts)
+
+    def score(self, run: str) -> float:
+        """As an automaton's, by the part that explains the run best."""
+        return max(share + automaton.score(run) for share, automaton in self.parts)
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled credentials, and of the other words' runs the ORDINARY ones of the partition with the smallest hashes."""
-    plain: dict[str, int] = {}
-    cut = np.uint64(2**64 - 1)
+    """(kind, value, h, n): labelled credentials, and under "" how often (n) classes follow each other (h) in all other runs."""
+    seen = 0
     for batch in pieces(batches):
-        texts = column(batch, "text")
-        found = {(kind, value) for text in texts for kind, _, _, value in base_spans(text) if len(value) <= LONGEST}
-        yield _rows({(kind, value, xxhash.xxh3_64_intdigest(value.encode()) >> 1) for kind, value in found})
-        labelled = {value for _, value in found}
-        data = b"\n".join(utf8(t) for t in texts)
-        hashes, starts = word_hashes(data)
-        low, first = np.unique(hashes[hashes < cut], return_index=True)
-        for h, at in zip(low.tolist(), starts[hashes < cut][first].tolist(), strict=True):
-            word = _WORD.match(data, at)[0].decode("utf-8", "replace")
-            if len(word) <= LONGEST and not base_spans(word):
-                plain |= {run: h >> 1 for run in _RUN.findall(word) if run not in labelled}
-        if len(plain) > 2 * ORDINARY:
-            plain = _smallest(plain)
-            cut = np.uint64(2 * max(plain.values()) + 1)
-    yield _rows({("", v, h) for v, h in _smallest(plain).items()})
-
-
-def _smallest(plain: dict[str, int]) -> dict[str, int]:
-    return dict(sorted(plain.items(), key=lambda x: (x[1], x[0]))[:ORDINARY])
-
-
-def _rows(found: set[tuple[str, str, int]]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True)) if found else [(), (), ()]
-    arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "value", "h"])
-
-
-def infer_formats(docs: DataFrame, labelled: int = LABELLED, ordinary: int = ORDINARY) -> dict[str, Automaton]:
-    """An automaton for each base kind, from at most `labelled` distinct credentials of it and `ordinary` other runs."""
+        found, rest = set(), []
+        for text in column(batch, "text"):
+            spans = base_spans(text)
+            found |= {(kind, value) for kind, _, _, value in spans}
+            rest.append(redacted(text or "", [(*x[:3], None) for x in spans], " "))
+        seen = seen + Ordinary.pairs("\n".join(rest))
+        yield _rows([(k, v, xxhash.xxh3_64_intdigest(v.encode()) >> 1, 1) for k, v in found], _VALUES)
+    yield _rows([("", None, h, n) for h, n in enumerate(np.ravel(seen).tolist()) if n], _VALUES)
+
+
+def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_VALUES = pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+_PASSED = pa.schema([*_VALUES, ("state", pa.int64()), ("symbol", pa.string())])
+
+
+def _passed(trees: dict[str, Automaton]):
+    """Credentials that their kind's automaton doesn't accept, as they are; of the others how often states and symbols are passed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            left = []
+            for kind, value, h in zip(*(column(batch, c) for c in ("kind", "value", "h")), strict=True):
+                if kind in trees and trees[kind].accepts(value):
+                    seen.update((kind, *step) for step in trees[kind].path(value))
+                else:
+                    left.append((kind, value, h, 1, None, None))
+            yield _rows(left, _PASSED)
+        yield _rows([(kind, None, None, n, state, symbol) for (kind, state, symbol), n in seen.items()], _PASSED)
+
+    return run
+
+
+def infer_formats(docs: DataFrame, labelled: int = LABELLED) -> dict[str, Mixture]:
+    """A mixture of automata for each base kind, from all its distinct credentials and all other runs.
+
+    A tree takes `labelled` credentials at a time, which bounds the driver's memory; every credential is counted in the
+    first automaton that accepts it, or in the chain.
+    """
     scratch = Scratch(docs.sparkSession, "secrets")
-    values = narrow(docs, "text").mapInArrow(_labelled, "kind string, value string, h bigint")
-    values = scratch.save(values.distinct(), "labelled")
-
-    def some(kind: str, most: int) -> list[str]:
-        return [r.value for r in values.where(F.col("kind") == kind).orderBy("h", "value").limit(most).collect()]
-
-    plain = some("", ordinary)
-    model, out = Ordinary(plain), {}
-    for kind in KINDS[:3]:
-        if found := some(kind, labelled):
-            out[kind] = Automaton(found, model)
-    scratch.drop(values)
+    values = narrow(docs, "text").mapInArrow(_labelled, "kind string, value string, h bigint, n bigint")
+    values = scratch.save(values.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")), "labelled")
+    size = len(Ordinary.SYMBOLS) + 1
+    counts = np.zeros(size * size, np.int64)
+    for r in values.where("kind = ''").collect():
+        counts[r.h] = r.n
+    model = Ordinary([], counts.reshape(size, size))
+    parts: dict[str, list[tuple[int, Automaton]]] = {}
+
+    def counted(trees: dict[str, Automaton]) -> DataFrame:
+        """Take trees as the next parts; what they leave."""
+        passed = left.mapInArrow(_passed(trees), "kind string, value string, h bigint, n bigint, state bigint, symbol string")
+        passed = scratch.save(passed, "passed")
+        seen: dict[str, dict] = {kind: {} for kind in trees}
+        for r in passed.where("value is null").groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+            seen[r.kind][r.state, r.symbol] = r.n
+        for kind, tree in trees.items():
+            tree.count(seen[kind])
+            parts.setdefault(kind, []).append((sum(tree.ends), tree))
+        return passed.where("value is not null").select("kind", "value", "h")
+
+    left = values.where("kind <> ''").select("kind", "value", "h")
+    for _ in range(TREES):
+        short = left.where(F.length("value") <= LONGEST)
+        trees = {}
+        for kind in KINDS[:3]:
+            some = short.where(F.col("kind") == kind).orderBy("h", "value").limit(labelled).collect()
+            if some:
+                trees[kind] = Automaton([r.value for r in some], model)
+        if not trees:
+            break
+        left = counted(trees)
+        if is_empty(left):
+            break
+    lengths = left.groupBy("kind").agg(F.min(F.length("value")).alias("least")).collect()
+    if lengths:
+        chains = {r.kind: Automaton.chain(model) for r in lengths}
+        counted(chains)
+        for r in lengths:
+            chains[r.kind].least = r.least
+    out = {kind: Mixture(some) for kind, some in sorted(parts.items(), key=lambda x: KINDS.index(x[0]))}
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = column(batch, "kind")
+            scores = [out[kind].score(value) for kind, value in zip(kinds, column(batch, "value"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(scores, pa.float64())], ["kind", "score"])
+
+    scores = values.where("kind <> ''").select("kind", "value").mapInArrow(scored, "kind string, score double")
+    scores = scratch.save(scores.withColumn("step", F.floor(F.col("score") / STEP)), "scores")
+    steps = scores.groupBy("kind", "step").agg(F.count("*").alias("n")).collect()
+    for kind, mixture in out.items():
+        mine = sorted((r.step, r.n) for r in steps if r.kind == kind)
+        rank = int(BELOW * sum(n for _, n in mine))
+        for step, n in mine:
+            if rank < n:
+                break
+            rank -= n
+        there = scores.where((F.col("kind") == kind) & (F.col("step") == step)).orderBy("score").offset(rank).limit(1)
+        # A run with this ratio comes up among ordinary ones with a chance of ABOVE at most (Markov's inequality).
+        mixture.threshold = max(there.first().score, -log(ABOVE))
+    scratch.drop(values, scores)
     return out
 
 
 class _Best(dict):
     """By how much a run passes the threshold of the format that explains it best; emptied when it is full."""
 
-    def __init__(self, formats: dict[str, Automaton]):
+    def __init__(self, formats: dict[str, Automaton | Mixture]):
         super().__init__()
         self.formats = formats
 
@@ -330,7 +446,7 @@ class _Best(dict):
         return best
 
 
-def secret_spans(text: str | None, formats: dict[str, Automaton] | _Best) -> list[tuple[str, int, int, float | None]]:
+def secret_spans(text: str | None, formats: dict[str, Automaton | Mixture] | _Best) -> list[tuple[str, int, int, float | None]]:
     """All spans of a text: base ones, and candidates not covered by one that a format explains."""
     best = formats if isinstance(formats, _Best) else _Best(formats)
     base = base_spans(text)
@@ -363,7 +479,7 @@ def redacted(text: str, spans: list[tuple[str, int, int, float | None]], mark: s
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def scan_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None, keep: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, formats: dict[str, Automaton | Mixture] | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, spans array<struct<kind, start, end, score>>, redacted_text, *keep).
 
     Positions are code points, ends exclusive. The score, for inferred formats only, is how far the

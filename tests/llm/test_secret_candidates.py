@@ -132,3 +132,25 @@ def test_base_spans_against_a_scan_of_random_texts():
                     at += 1
         want.sort(key=lambda x: (x[1], S.KINDS.index(x[0])))
         assert [x[:3] for x in S.base_spans(text)] == want, text
+
+
+def test_every_credential_and_every_run_counts(table, monkeypatch):
+    """More credentials than a tree takes, a rare form, long ones; the chances are those of all of them."""
+    monkeypatch.setattr(S, "LONGEST", 60)
+    rng = random.Random(7)
+    common = sorted({made("xxxxxxxx", rng) for _ in range(300)})
+    rare, long = ["QQ-" + made("dddd", rng) + "/zz" for _ in range(3)], [made("UU" * 50, rng) for _ in range(2)]
+    values = [*common, *rare, *long]
+    prose = [f"{rng.choice(WORDS)} w{i} {rng.choice(WORDS)}" for i in range(6000)]
+    rows = [(i, f"token={v} {p}") for i, (v, p) in enumerate(zip(values, prose, strict=False))]
+    rows += [(len(values) + i, p) for i, p in enumerate(prose[len(values) :])]
+    got = S.infer_formats(table(rows), labelled=40)["assign"]
+    assert sum(round(S.np.exp(share) * len(values)) for share, _ in got.parts) == len(values)
+    assert sum(sum(part.ends) for _, part in got.parts) == len(values)
+    scores = sorted(got.score(v) for v in values)
+    assert scores[0] > -S.inf and got.threshold == max(scores[int(S.BELOW * len(values))], S.log(1000))
+    first = sum(n for _, n in got.parts[0][1].next[0].values())
+    assert first >= len(common) and got.parts[0][1].next[0]["d"][1] == sum(v[0].isdigit() for v in common)
+    # Every run of the texts outside base spans is in the model of ordinary ones.
+    plain = S.Ordinary([run for p in prose for run in re.findall(r"[A-Za-z0-9+/_.=-]+", p)])
+    assert all(abs(got.parts[0][1].ordinary.score(w) - plain.score(w)) < 1e-9 for w in [*WORDS, *values])
