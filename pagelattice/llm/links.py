@@ -226,7 +226,9 @@ def linked(
     far = 100 * (F.col("na") - F.col("beyond")) < percent * F.col("na")
     open_spokes = scratch.save(measured(deltas).withColumn("far", far), "tested")
     # By A - H whatever has a far side, by whole deltas the near ones among each other.
-    deltas_of = deltas.join(open_spokes.select("a", "b", "good", "far"), ["a", "b"])
+    # Joined once: the slices below read it many times.
+    deltas_of = scratch.save(deltas.join(open_spokes.select("a", "b", "good", "far"), ["a", "b"]).drop("part"), "flagged")
+    scratch.drop(deltas)
     elements = deltas_of.select("b", F.lit(True).alias("outer"), "a", "good", "far", F.explode("more").alias("element")).unionByName(
         deltas_of.where("not far").select(
             "b", F.lit(False).alias("outer"), "a", "good", "far", F.explode(F.concat("more", "less")).alias("element")
@@ -243,7 +245,7 @@ def linked(
         seen = scratch.save(seen.where("seen > 1 and open").select(*within_key, "seen"), "seen")
         parts.append(scratch.save(part.drop("good", "far").join(seen, within_key), "shared"))
         scratch.drop(seen)
-    scratch.drop(deltas)
+    scratch.drop(deltas_of)
     shared = reduce(DataFrame.unionByName, parts)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
     # frequent out, and what nobody else has, and a common element still remains.

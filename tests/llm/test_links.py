@@ -112,3 +112,26 @@ def test_near_and_far_members_of_a_key(spark, monkeypatch):
     assert linked(spark, crowd, 80) == {i: 1 if i <= 10 else i for i in crowd}
     # Elements that only the reference has are not listed for those that lie far from it.
     assert listed["open"] >= 60 and listed["shared"] <= len(crowd) and listed["ranked"] <= len(crowd)
+
+
+def test_copies_and_reads_of_the_deltas(spark, monkeypatch):
+    """Copies take no part in the rounds of labels and come back in the end; deltas are joined with their pairs once."""
+    listed, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        listed[name] = [*listed.get(name, []), (df._jdf.queryExecution().optimizedPlan().toString(), out.count())]
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rng = random.Random(9)
+    sets = {i: range(100) if i <= 10 else rng.sample(range(40), 20) + list(range(1000 * i, 1000 * i + 80)) for i in range(1, 31)}
+    sig = {i: 1 if i <= 10 else i for i in sets}
+    rows = [(i, len(s), bytearray(b"%d" % sig[i]), parity_sketch(np.array(list(s), np.uint64)).view(np.int64).tolist()) for i, s in sets.items()]
+    meta = spark.createDataFrame(rows, "id bigint, n bigint, sig binary, sketch array<bigint>")
+    keys = spark.createDataFrame([(i, 7, True) for i in sets], "id bigint, key bigint, chosen boolean")
+    items = spark.createDataFrame([(i, 0, list(s)) for i, s in sets.items()], "id bigint, part int, items array<bigint>")
+    got = {r.node: r.component for r in L.linked([keys], meta, lambda ids: items.join(ids, "id"), 80, Scratch(spark, "test")).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: 1 if i <= 10 else i for i in sets}
+    assert len(listed["flagged"]) == 1
+    assert all("Join Inner, ((a" not in plan for name in ("seen", "shared") for plan, _ in listed[name])
