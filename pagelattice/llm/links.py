@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,53 @@ SLICES = 4
 #: Members of a key up to which all of them meet; those of other keys meet a hub first.
 FEW = 8
 #: All members below an element meet once they make at most so many pairs for each of them; before that, in at most
-#: so many turns, those in several components are held against one of them, another one each time.
+#: so many turns, those in several components are held against so many of them, others each time.
 PAIRS = 4
-TURNS = 5
+TURNS = 3
+HUBS = 2
+#: Edges up to which components are found on the driver, which takes two jobs instead of a dozen.
+SMALL = 100_000
+
+
+def small_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, components) of a few edges, as components gives them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    a, b = ends[: len(a)], ends[len(a) :]
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            return nodes, nodes[root]
+        # Roots hang on smaller ones only, then all paths are shortened.
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is its smallest reachable node.
 
     Each round hooks every node to its smallest neighbour, shortens the paths by doubling and
-    contracts the graph, so the rounds are logarithmic. Everything stays in distributed tables.
+    contracts the graph, so the rounds are logarithmic. Everything but the last SMALL edges stays in
+    distributed tables.
     """
     edges = scratch.save(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
     labels = None
-    while not is_empty(edges):
+    while many := edges.count():
+        if many <= SMALL:
+            few = edges.toArrow()
+            found = small_components(few["a"].to_numpy(), few["b"].to_numpy())
+            table = pa.table({"node": found[0], "root": found[1]})
+            hook = scratch.spark.createDataFrame(table, "node bigint, root bigint")
+            if labels is None:
+                return scratch.save(hook.withColumnRenamed("root", "component"), "labels")
+            step = hook.withColumnRenamed("node", "component")
+            composed = labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            composed = scratch.save(composed, "labels")
+            scratch.drop(edges, labels)
+            return composed
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
         hook = scratch.save(hook, "hook")
@@ -158,16 +191,27 @@ def linked(
     alike = alike.groupBy("hub", "many", "x", "y").agg(F.min("key").alias("key"))
     members = scratch.save(members.join(alike.select("key", "many"), "key"), "members")
     scratch.drop(*met)
+
+    def whole(labels: DataFrame) -> DataFrame:
+        """labels of all nodes, after those of one set of several copies each: the smallest of them stands for all."""
+        at = named(labels, "b", "component")
+        hung = same.unionByName(copies.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).join(at, "b", "left")
+        alone = labels.join(copies.select(F.col("rep").alias("node")), "node", "left_anti")
+        return scratch.save(hung.select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component")).unionByName(alone), "whole")
+
+    def named(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
+
     if is_empty(members):
-        return components(same, scratch)
+        return whole(components(same.limit(0), scratch))
     spokes = members.select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = members.where(F.col("many") < FEW)
     within = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
 
-    def named(df: DataFrame, *names: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
-
-    sizes = meta.select("id", "n")
+    # Only members are compared; the rest of meta is not read again.
+    ids = members.select("id").union(members.select("hub")).distinct()
+    known = scratch.save(meta.join(ids, "id", "left_semi").select("id", "n", "sketch"), "known")
+    sizes = known.select("id", "n")
 
     def cuts(pairs: DataFrame) -> DataFrame:
         ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
@@ -185,8 +229,6 @@ def linked(
         total = total.join(named(sizes, "a", "na"), "a").join(named(sizes, "b", "nb"), "b")
         return total.withColumn("good", (100 + percent) * F.col("d") <= (100 - percent) * (F.col("na") + F.col("nb")))
 
-    known = meta.select("id", "n", "sketch")
-
     def verified(pairs: DataFrame, name: str, cut: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(named(known, "a", "na", "sa"), "a").join(named(known, "b", "nb", "sb"), "b")
@@ -201,7 +243,8 @@ def linked(
         scratch.drop(pairs, apart, *([mine] if cut is None else []))
         return good
 
-    labels = components(same.unionByName(verified(spokes.unionByName(within), "first")), scratch)
+    # Copies are in no key's members, so they hang on their smallest one in the end only.
+    labels = components(verified(spokes.unionByName(within), "first"), scratch)
 
     def placed(df: DataFrame, node: str, name: str) -> DataFrame:
         at = df.join(named(labels, node, "at"), node, "left")
@@ -220,7 +263,7 @@ def linked(
     open_spokes = scratch.save(open_spokes, "open")
     scratch.drop(group)
     if is_empty(open_spokes):
-        return labels
+        return whole(labels)
     cut = cuts(open_spokes)
     deltas = differences(open_spokes, cut)
     far = 100 * (F.col("na") - F.col("beyond")) < percent * F.col("na")
@@ -283,18 +326,18 @@ def linked(
     both = scratch.save(ranked.where("counts or other").join(common, key, "left_semi"), "both")
     scratch.drop(ranked)
     for turn in range(TURNS):
-        # Below an element, all meet one of them, until what is left in several components makes few pairs.
+        # Below an element, all meet some of them, until what is left in several components makes few pairs.
         met = scratch.save(placed(both, "id", "component"), "turn")
         groups = met.groupBy(*key).agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("counts").alias("r"), F.count_if("other").alias("o"),
-            F.min_by("id", F.struct(~F.col("other"), F.xxhash64("id", F.lit(turn)))).alias("b"),
+            F.array_distinct(F.array(*[F.min_by("id", F.struct(~F.col("other"), F.xxhash64("id", F.lit(i)))) for i in range(HUBS * turn, HUBS * turn + HUBS)])).alias("b"),
         )
         groups = scratch.save(groups.where("lo < hi and r > 0 and o > 0"), "crowds")
         load = groups.agg(F.sum(F.col("r") * F.col("o")), F.sum(F.col("r") + F.col("o"))).first()
         both = scratch.save(met.drop("component").join(groups.select(*key), key, "left_semi"), "left")
         if not load[0] or load[0] <= PAIRS * load[1]:
             break
-        spoke = placed(placed(both.join(groups, key).select(F.col("id").alias("a"), "b").distinct(), "a", "ca"), "b", "cb")
+        spoke = placed(placed(both.join(groups, key).select(F.col("id").alias("a"), F.explode("b").alias("b")).distinct(), "a", "ca"), "b", "cb")
         labels = extended(labels, verified(spoke.where("ca <> cb"), "turned", cut), scratch)
         scratch.drop(met, groups)
     # A linked pair's first common element leaves room for all elements that they must share.
@@ -306,4 +349,4 @@ def linked(
     one = named(both.where("counts").select(*key, *values), *key, "a", "na", "da", "la", "ca")
     two = named(both.where("other").select(*key, *values), *key, "b", "nb", "db", "lb", "cb")
     one = one.join(two, key).where((F.col("ca") != F.col("cb")) & room & fit & (F.abs(F.col("da") - F.col("db")) <= most))
-    return extended(labels, verified(one.select("a", "b"), "rest", cut), scratch)
+    return whole(extended(labels, verified(one.select("a", "b"), "rest", cut), scratch))

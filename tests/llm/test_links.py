@@ -114,6 +114,20 @@ def test_near_and_far_members_of_a_key(spark, monkeypatch):
     assert listed["open"] >= 60 and listed["shared"] <= len(crowd) and listed["ranked"] <= len(crowd)
 
 
+def test_few_edges_and_many(spark, monkeypatch):
+    """Components found on the driver are those of the distributed rounds, also where these end in few edges."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)]
+    want = brute({i: {0} if i < 0 else {i} for i in {x for e in edges for x in e}}, 100)
+    for a, b in edges * 60:
+        want[a] = want[b] = min(want[a], want[b])
+    want = {i: c for i, c in want.items() if any(i in e and e[0] != e[1] for e in edges)}
+    for small in (0, 5, 10**6):
+        monkeypatch.setattr(L, "SMALL", small)
+        got = L.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "test")).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
 def test_copies_and_reads_of_the_deltas(spark, monkeypatch):
     """Copies take no part in the rounds of labels and come back in the end; deltas are joined with their pairs once."""
     listed, save = {}, Scratch.save
@@ -133,5 +147,5 @@ def test_copies_and_reads_of_the_deltas(spark, monkeypatch):
     items = spark.createDataFrame([(i, 0, list(s)) for i, s in sets.items()], "id bigint, part int, items array<bigint>")
     got = {r.node: r.component for r in L.linked([keys], meta, lambda ids: items.join(ids, "id"), 80, Scratch(spark, "test")).collect()}
     assert {i: got.get(i, i) for i in sets} == {i: 1 if i <= 10 else i for i in sets}
-    assert len(listed["flagged"]) == 1
+    assert "labels" not in listed and all(n == 0 for _, n in listed["edges"]) and len(listed["flagged"]) == 1
     assert all("Join Inner, ((a" not in plan for name in ("seen", "shared") for plan, _ in listed[name])
