@@ -10,19 +10,22 @@ most pairs out before any set is read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, is_empty
+from ._common import Scratch, is_empty, pieces
 
 
 #: Slices of delta elements; more of them need less disk and read the deltas more often.
 SLICES = 4
+#: Counters by which elements are put in order from rare to frequent, 2 bytes each; any number gives the same links.
+SLOTS = 1 << 22
 #: Members of a key up to which all of them meet; those of other keys meet a hub first.
 FEW = 8
 #: All members below an element meet once they make at most so many pairs for each of them; before that, in at most
@@ -139,6 +142,49 @@ def odd_bits(a: str, b: str) -> F.Column:
     return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b)), bits).otherwise(0)
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many elements of sets(items) fall in each of SLOTS slots, 32767 at most: no element is in more sets than its slot's count says below that."""
+    slots = sets.select(F.explode("items").alias("e")).groupBy(F.pmod("e", F.lit(SLOTS)).cast("int").alias("slot")).count()
+    slots = slots.select("slot", F.least("count", F.lit(32767)).cast("smallint").alias("many")).toArrow()
+    counts = np.zeros(SLOTS, np.int16)
+    counts[slots["slot"].to_numpy()] = slots["many"].to_numpy()
+    return counts
+
+
+LISTED = "hub bigint, outer boolean, id bigint, n bigint, d bigint, element bigint, left bigint, counts boolean, other boolean"
+
+
+def _listed(rarity: Broadcast):
+    """LISTED rows of (hub, id, n, good, far, more, keep, delta, keep_delta); left: how many of a list come from an element on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = rarity.value
+        for batch in pieces(batches):
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            good, far = (at[name].to_numpy(zero_copy_only=False) for name in ("good", "far"))
+            for outer, name, most in ((True, "more", "keep"), (False, "delta", "keep_delta")):
+                sizes = at[name].value_lengths().to_numpy()
+                items = at[name].flatten().to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                seen = known[items % len(known)]
+                order = np.lexsort((items, seen, row))
+                items, seen = items[order], seen[order]
+                place = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = place < at[most].to_numpy()[row]
+                counts = first & far[row] if outer else first
+                other = np.ones(len(row), bool) if outer else ~good[row]
+                # Far ones meet in the first elements of both, and never in what only one set has.
+                wanted = (counts | ~far[row]) & (seen > 1) if outer else counts | other
+                row = row[wanted]
+                values = [np.full(len(row), outer), items[wanted], sizes[row] - place[wanted], counts[wanted], other[wanted], sizes[row].astype(np.int64)]
+                outers, element, left, counts, other, d = map(pa.array, values)
+                whose = [at[c].take(pa.array(row)) for c in ("hub", "id", "n")]
+                arrays = [whose[0], outers, *whose[1:], d, element, left, counts, other]
+                yield pa.RecordBatch.from_arrays(arrays, [field.split()[0] for field in LISTED.split(", ")])
+
+    return run
+
+
 def linked(
     slices: list[DataFrame],
     meta: DataFrame,
@@ -166,6 +212,8 @@ def linked(
        deltas; if b does not link to h, a and b can only link by sharing more than half of a's delta, and
        so one of the rarer elements of it. Those meet, by element, with hubs of the element while that is
        a crowd, then with what is left in other components. So elements of H are listed only for near members.
+       What is rare is told by slot_counts before anything is listed: all lists are in one order, so two far ones
+       share one of the rarer elements of both, and the more frequent ones of a far one are not listed at all.
     """
     copies = meta.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = scratch.save(copies.where("rep < last").select("sig", "rep"), "copies")
@@ -269,62 +317,38 @@ def linked(
     far = 100 * (F.col("na") - F.col("beyond")) < percent * F.col("na")
     open_spokes = scratch.save(measured(deltas).withColumn("far", far), "tested")
     # By A - H whatever has a far side, by whole deltas the near ones among each other.
-    # Joined once: the slices below read it many times.
-    deltas_of = scratch.save(deltas.join(open_spokes.select("a", "b", "good", "far"), ["a", "b"]).drop("part"), "flagged")
-    scratch.drop(deltas)
-    elements = deltas_of.select("b", F.lit(True).alias("outer"), "a", "good", "far", F.explode("more").alias("element")).unionByName(
-        deltas_of.where("not far").select(
-            "b", F.lit(False).alias("outer"), "a", "good", "far", F.explode(F.concat("more", "less")).alias("element")
-        )
-    )
-    # Of a pair that still counts, one side at least is far, or, by whole deltas, does not link to the reference:
-    # what no such side has cannot be common.
-    within_key = ["b", "outer", "element"]
-    open_side = F.when(F.col("outer"), F.col("far")).otherwise(~F.col("good"))
-    parts = []
-    for i in range(SLICES):
-        part = elements.where(F.pmod("element", F.lit(SLICES)) == i)
-        seen = part.groupBy(*within_key).agg(F.count("*").alias("seen"), F.max(open_side).alias("open"))
-        seen = scratch.save(seen.where("seen > 1 and open").select(*within_key, "seen"), "seen")
-        parts.append(scratch.save(part.drop("good", "far").join(seen, within_key), "shared"))
-        scratch.drop(seen)
-    scratch.drop(deltas_of)
-    shared = reduce(DataFrame.unionByName, parts)
     # More than x = (|a| + k (|H| - |A|)) / 2 elements are common, k = (1 - J) / (1 + J): leave x of the most
-    # frequent out, and what nobody else has, and a common element still remains.
-    ranked = shared.groupBy("b", "outer", "a").agg(F.sort_array(F.collect_list(F.struct("seen", "element"))).alias("all"))
-    ranked = ranked.join(open_spokes, ["a", "b"])
-    # And as d(A, B) <= m for the largest possible B, |b| >= |a| - m, and at least |a| - m elements are common.
+    # frequent out, and a common element still remains.
     outside = F.floor(
         ((100 + percent) * F.col("d") + (100 - percent) * (F.col("nb") - F.col("na"))) / (2 * (100 + percent))
     )
+    # And as d(A, B) <= m for the largest possible B, |b| >= |a| - m, and at least |a| - m elements are common.
     largest = F.floor((100 - percent) * (F.col("na") + F.floor(100 * F.col("na") / percent)) / (100 + percent))
     outside = F.greatest(outside, F.col("d") - largest - 1)
     # Beyond H a far one shares J |A| elements less those of H at least.
-    outside = F.when(
-        F.col("outer"), F.ceil(percent * F.col("na") / 100) - (F.col("na") - F.col("beyond")) - 1
-    ).otherwise(outside)
-    ranked = ranked.select(
-        F.col("b").alias("hub"), "outer", F.col("a").alias("id"), "na", F.when(F.col("outer"), F.col("beyond")).otherwise(F.col("d")).alias("d"), "good", "far",
-        (F.size("all") - outside).alias("keep"), F.size("all").alias("size"), F.posexplode("all").alias("at", "e"),
+    least = F.ceil(percent * F.col("na") / 100) - (F.col("na") - F.col("beyond"))
+    # Joined and listed once: the slices below read it many times.
+    lists = deltas.groupBy("a", "b").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("more", "less")]).join(open_spokes, ["a", "b"])
+    lists = lists.select(
+        F.col("b").alias("hub"), F.col("a").alias("id"), F.col("na").alias("n"), "good", "far", "more", (F.col("beyond") - least + 1).alias("keep"),
+        F.when(F.col("far"), F.array().cast("array<bigint>")).otherwise(F.concat("more", "less")).alias("delta"), (F.col("d") - outside).alias("keep_delta"),
     )
-    # left: how many listed elements come from this one on, in the order from rare to frequent.
-    ranked = ranked.select(
-        "hub", "outer", "id", F.col("na").alias("n"), "d", F.col("e.element").alias("element"), (F.col("size") - F.col("at")).alias("left"),
-        ((F.col("at") < F.col("keep")) & (F.col("far") | ~F.col("outer"))).alias("counts"), (F.col("outer") | ~F.col("good")).alias("other"),
-    )
-    ranked = scratch.save(ranked, "ranked")
-    scratch.drop(*parts)
-    # Those that link to the reference hang on it from here on; only the others are still to be met.
-    labels = extended(labels, open_spokes.where("good").select("a", "b"), scratch)
+    rarity = scratch.spark.sparkContext.broadcast(slot_counts(cut))
+    flagged = scratch.save(lists.mapInArrow(_listed(rarity), LISTED), "flagged")
+    scratch.drop(deltas)
     # Only elements that some a counts on and some other b has.
     key = ["hub", "outer", "element"]
-    common = ranked.groupBy(*key).agg(
-        F.max("counts").alias("counts"), F.max("other").alias("other"), F.min("id").alias("lo"), F.max("id").alias("hi")
-    )
-    common = scratch.save(common.where("counts and other and lo < hi").select(*key), "common")
-    both = scratch.save(ranked.where("counts or other").join(common, key, "left_semi"), "both")
-    scratch.drop(ranked)
+    parts = []
+    for i in range(SLICES):
+        part = flagged.where(F.pmod("element", F.lit(SLICES)) == i)
+        seen = part.groupBy(*key).agg(F.count("*").alias("seen"), F.max("counts").alias("counts"), F.max("other").alias("other"))
+        seen = scratch.save(seen.where("seen > 1 and counts and other").select(*key), "seen")
+        parts.append(scratch.save(part.join(seen, key, "left_semi"), "shared"))
+        scratch.drop(seen)
+    both = scratch.save(reduce(DataFrame.unionByName, parts), "ranked")
+    scratch.drop(flagged, *parts)
+    # Those that link to the reference hang on it from here on; only the others are still to be met.
+    labels = extended(labels, open_spokes.where("good").select("a", "b"), scratch)
     for turn in range(TURNS):
         # Below an element, all meet some of them, until what is left in several components makes few pairs.
         met = scratch.save(placed(both, "id", "component"), "turn")

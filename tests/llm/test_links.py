@@ -149,3 +149,35 @@ def test_copies_and_reads_of_the_deltas(spark, monkeypatch):
     assert {i: got.get(i, i) for i in sets} == {i: 1 if i <= 10 else i for i in sets}
     assert "labels" not in listed and all(n == 0 for _, n in listed["edges"]) and len(listed["flagged"]) == 1
     assert all("Join Inner, ((a" not in plan for name in ("seen", "shared") for plan, _ in listed[name])
+
+
+PHRASE = list(range(9)) + list(range(5000, 5030))
+CROWD = {i: range(100) for i in range(1, 11)} | {i: PHRASE + list(range(1000 * i, 1000 * i + 61)) for i in range(101, 161)}
+
+
+def test_frequent_elements_of_far_members_are_not_listed(spark, monkeypatch):
+    """Far members of a reference share a stock phrase that it lacks: neither that nor what only one of them has is listed."""
+    listed, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        listed[name] = listed.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    assert linked(spark, CROWD, 80) == {i: 1 if i <= 10 else i for i in CROWD}
+    assert listed["open"] == 60 and listed["flagged"] == 0 and listed["shared"] == 0
+
+
+def test_any_order_of_elements_gives_the_same_links(spark, monkeypatch):
+    """Families that share a stock phrase, with so few counters that frequent elements look like rare ones."""
+    monkeypatch.setattr(L, "SLOTS", 16)
+    monkeypatch.setattr(L, "PAIRS", 0.5)
+    rng = random.Random(8)
+    families = {}
+    for i in range(24):
+        own = list(range(1_000_000 * (1 + i // 3), 1_000_000 * (1 + i // 3) + 61))
+        families[200 + i] = PHRASE + own[rng.randint(0, 14) :] + list(range(90_000_000 + 20 * i, 90_000_000 + 20 * i + rng.randint(0, 8)))
+    sets = CROWD | families
+    want = brute(sets, 80)
+    assert linked(spark, sets, 80) == want and sum(want[i] != i for i in families) > 6
